@@ -214,8 +214,8 @@ add("condition_summary", lambda s, sf: _build(s, sf).condition_summary(),
 
 add("label_variability", lambda s, sf: _build(s, sf).label_variability(),
     B("long") + "SELECT any_value(sequence_id) AS sequence_id, sequence_clean, count(*) AS n_records, "
-    "count(DISTINCT solvent_id) AS n_solvents_tested, count_if(y = 1) AS n_soluble, count_if(y = 0) "
-    "AS n_insoluble, CAST(CASE WHEN count_if(y = 1) > 0 AND count_if(y = 0) > 0 THEN 1 ELSE 0 END "
+    "count(DISTINCT solvent_id) AS n_solvents_tested, CAST(count_if(y = 1) AS BIGINT) AS n_soluble, "
+    "CAST(count_if(y = 0) AS BIGINT) AS n_insoluble, CAST(CASE WHEN count_if(y = 1) > 0 AND count_if(y = 0) > 0 THEN 1 ELSE 0 END "
     "AS INTEGER) AS has_discordant_solvent_labels FROM long GROUP BY sequence_clean")
 
 DUP_SQL = ("SELECT sequence_clean, solvent_name, count(*) AS n_records, "
@@ -307,13 +307,16 @@ add("dataset_summary", _summary,
     "(SELECT count(DISTINCT sequence_id) FROM long) AS unique_peptides_long, "
     f"CAST({len(o.CONDITIONS)} AS BIGINT) AS n_detected_solvent_columns, "
     "(SELECT count(DISTINCT solvent_id) FROM long) AS n_solvents_with_labels, "
-    "(SELECT count_if(y = 1) FROM long) AS n_soluble, (SELECT count_if(y = 0) FROM long) AS n_insoluble, "
+    "CAST((SELECT count_if(y = 1) FROM long) AS BIGINT) AS n_soluble, CAST((SELECT count_if(y = 0) FROM long) AS BIGINT) AS n_insoluble, "
     "(SELECT avg(CAST(y AS DOUBLE)) FROM long) AS positive_rate, "
-    "(SELECT count_if(is_canonical_aa) FROM feats) AS canonical_sequence_count, "
-    "(SELECT count_if(NOT is_canonical_aa) FROM feats) AS noncanonical_or_missing_sequence_count, "
-    "(SELECT count_if(nsol >= 2) FROM lv) AS sequences_tested_in_multiple_solvents, "
-    "(SELECT count_if(p > 0 AND n > 0) FROM lv) AS sequences_with_discordant_solvent_labels, "
-    "(SELECT count_if(c > 1) FROM dc) AS duplicate_sequence_solvent_groups, "
-    "(SELECT count_if(u > 1) FROM dc) AS conflicting_sequence_solvent_groups, "
+    "CAST((SELECT count_if(is_canonical_aa) FROM feats) AS BIGINT) AS canonical_sequence_count, "
+    "CAST((SELECT count_if(NOT is_canonical_aa) FROM feats) AS BIGINT) AS noncanonical_or_missing_sequence_count, "
+    "CAST((SELECT count_if(nsol >= 2) FROM lv) AS BIGINT) AS sequences_tested_in_multiple_solvents, "
+    "CAST((SELECT count_if(p > 0 AND n > 0) FROM lv) AS BIGINT) AS sequences_with_discordant_solvent_labels, "
+    "CAST((SELECT count_if(c > 1) FROM dc) AS BIGINT) AS duplicate_sequence_solvent_groups, "
+    "CAST((SELECT count_if(u > 1) FROM dc) AS BIGINT) AS conflicting_sequence_solvent_groups, "
     f"(SELECT count(*) FROM unk WHERE v IS NOT NULL AND {d.normalize_label('v')} IS NULL) "
     "AS unknown_label_values_count", ["positive_rate"])
+
+# Remaining families register themselves on import.
+from . import queries_metrics, queries_sequence, queries_splits  # noqa: E402,F401
