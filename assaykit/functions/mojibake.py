@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values (must equal the source semantics): see text.WEIRD_CHARS.
 from .text import WEIRD_CHARS
@@ -37,7 +38,7 @@ def fix_mojibake_text(s):
     return cand if _cjk(cand) - _weird(cand) > _cjk(s) - _weird(s) else s
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fix_mojibake(col: pd.Series) -> pd.Series:
     return col.map(fix_mojibake_text)
 

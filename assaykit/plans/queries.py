@@ -320,3 +320,4 @@ add("dataset_summary", _summary,
 
 # Remaining families register themselves on import.
 from . import queries_metrics, queries_sequence, queries_splits  # noqa: E402,F401
+from . import queries_io  # noqa: E402,F401

@@ -52,3 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for an intermediate table."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/assaykit/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to the shared folder and return the read-back.
+
+    Used before iterative work (model fits read their input many times)
+    and to cut long lineages: a lost executor then re-reads the table
+    instead of recomputing the whole plan."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
