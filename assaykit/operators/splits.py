@@ -166,19 +166,32 @@ def split_pair_kfold(rec: DataFrame, seed: int, k: int = 5) -> DataFrame:
 
 
 def _groups(rec: DataFrame) -> DataFrame:
-    return group_label_class(rec, "sequence", "label").select("sequence", "group_label")
+    """(_seq_key, sequence, group_label) per distinct sequence. Grouping and
+    the later join back to records use the SHA-1 of the sequence, so the
+    (long) sequence text crosses the shuffle once per group, not per row."""
+    keyed = rec.withColumn("_seq_key", F.sha1(F.col("sequence")))
+    g = keyed.groupBy("_seq_key").agg(F.any_value("sequence").alias("sequence"),
+                                      F.avg("label").alias("mean"),
+                                      F.countDistinct("label").alias("nunique"))
+    cls = (F.when(F.col("nunique") > 1, "mixed").when(F.col("mean") >= 0.5, "positive")
+           .otherwise("negative"))
+    return g.select("_seq_key", "sequence", cls.alias("group_label"))
+
+
+def _keyed(rec: DataFrame) -> DataFrame:
+    return rec.withColumn("_seq_key", F.sha1(F.col("sequence")))
 
 
 def split_group_holdout(rec: DataFrame, seed: int) -> DataFrame:
     """Holdout on distinct sequences stratified by group class; records
     inherit their sequence's split (one join on the sequence key)."""
-    g = holdout_assign(_groups(rec), "sequence", "group_label", seed).select("sequence", "split")
-    return _finish(rec.join(g, "sequence").withColumn("fold", F.lit(0)))
+    g = holdout_assign(_groups(rec), "sequence", "group_label", seed).select("_seq_key", "split")
+    return _finish(_keyed(rec).join(g, "_seq_key").withColumn("fold", F.lit(0)))
 
 
 def split_group_kfold(rec: DataFrame, seed: int, k: int = 5) -> DataFrame:
-    g = kfold_assign(_groups(rec), "sequence", "group_label", seed, k).select("sequence", "fold_id")
-    return _finish(kfold_table(rec.join(g, "sequence"), k))
+    g = kfold_assign(_groups(rec), "sequence", "group_label", seed, k).select("_seq_key", "fold_id")
+    return _finish(kfold_table(_keyed(rec).join(g, "_seq_key"), k))
 
 
 CONDITION_LIMIT = 10_000

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import qc
 from ..operators.ingest import condition_columns, ingest_wide
 from ..operators.reshape import unknown_label_values, wide_to_long
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from . import fixtures
 
 
@@ -32,7 +32,10 @@ class DatasetBuild:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return ingest_wide(self.raw)
+        """Cleaned wide table, written once to the shared folder: the
+        detection aggregate and every downstream table read it instead of
+        re-running the text cleaning (and lineage is cut there)."""
+        return materialize(ingest_wide(self.raw), "clean_wide")
 
     @cached_property
     def conditions(self) -> list[str]:

@@ -77,10 +77,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a thin scan over all cores before CPU-heavy text work.
+
+    A Parquet file with one row group is one scan task; the regex work
+    on whole texts would then run on a single core. Only scans with fewer
+    partitions than the default parallelism are reshuffled (cheap next to
+    the text processing); large multi-file inputs keep their scan splits."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def wide_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw wide table: 12 string columns + ``source_row_index`` (the row's
     position in ``documents``)."""
-    docs = with_file_row_index(read(spark, sf_dir, "documents"))
+    docs = spread(with_file_row_index(read(spark, sf_dir, "documents")))
     labels = read(spark, sf_dir, "labels")
     d = docs.join(labels, "doc_id", "left")
     exprs = [f"{e} AS {_quote(h, SPARK)}" for h, e in wide_cell_exprs()]
@@ -124,9 +135,12 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, sequence, solvent, label, label_raw, event_id: one row per
     event; the sequence is the letters of the user's document."""
     ev = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), "text")
+    # each document's sequence is computed once, then joined to its events
+    docs = spread(read(spark, sf_dir, "documents")).selectExpr(
+        "doc_id AS user_id", f"{_letters(SPARK)} AS sequence")
     d = ev.join(docs, "user_id", "left")
-    return d.selectExpr(*[f"{e} AS {n}" for n, e in obs_exprs(SPARK)])
+    exprs = [(n, "sequence" if n == "sequence" else e) for n, e in obs_exprs(SPARK)]
+    return d.selectExpr(*[f"{e} AS {n}" for n, e in exprs])
 
 
 def obs_sql() -> str:

@@ -279,19 +279,14 @@ SMALL = ML.ModelParams(logistic_max_iter=25, forest_trees=20, forest_max_depth=8
 
 
 def model_data(spark, sf):
-    """Records joined with their pair-stratified split, then the 54 model
-    features computed in the projection above the join (a wide
-    projection below a join makes the optimizer's constraint inference
-    explode)."""
-    from ..functions import sequence as S
-    from ..functions.text import letters_only_sequence
+    """Records with their pair-stratified split and the 54 model features
+    (computed per distinct sequence, joined back on the sequence key)."""
+    from ..operators.features import with_baseline_features
     rec = records(spark, sf)
     split = SP.split_pair_holdout(rec, SEED).select("record_id", "split", F.col("label").alias("y"))
     j = rec.select("record_id", "sequence", "solvent").join(split, "record_id")
-    x = j.select("record_id", "split", "y", F.lower(F.trim("solvent")).alias("solvent_norm"),
-                 letters_only_sequence("sequence").alias("_letters"))
-    x = x.select("record_id", "split", "y", "solvent_norm", *S.baseline_count_columns("_letters"))
-    return x.select("record_id", "split", "y", "solvent_norm", *S.baseline_feature_columns())
+    j = j.select("record_id", "split", "y", F.lower(F.trim("solvent")).alias("solvent_norm"), "sequence")
+    return with_baseline_features(j).drop("sequence")
 
 
 def _train_test(spark, sf):

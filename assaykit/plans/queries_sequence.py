@@ -61,10 +61,9 @@ _key("fcr_ncpr", ["fcr", "ncpr"], ["fcr", "ncpr"])
 
 # Model family over the long observation table: 54 features + condition.
 def baseline(spark, sf):
-    o = fx.obs(spark, sf)
-    x = o.select("record_id", "solvent", letters_only_sequence("sequence").alias("_letters"))
-    x = x.select("record_id", "solvent", *S.baseline_count_columns("_letters"))
-    return x.select("record_id", "solvent", *S.baseline_feature_columns())
+    from ..operators.features import with_baseline_features
+    o = fx.obs(spark, sf).select("record_id", "solvent", "sequence")
+    return with_baseline_features(o).select("record_id", "solvent", *S.BASELINE_FEATURES)
 
 
 BASE_SQL = (f"WITH o AS ({fx.obs_sql()}), b1 AS (SELECT record_id, solvent, "

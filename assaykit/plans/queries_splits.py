@@ -236,8 +236,8 @@ add("match_split_to_data", _match,
 def _semi(spark, sf):
     rec = records(spark, sf)
     g = SP.holdout_assign(SP._groups(rec), "sequence", "group_label", SEED)
-    test_seqs = g.where(F.col("split") == "test").select("sequence")
-    return rec.join(test_seqs, "sequence", "left_semi").select("record_id", "solvent", "label")
+    test_keys = g.where(F.col("split") == "test").select("_seq_key")
+    return SP._keyed(rec).join(test_keys, "_seq_key", "left_semi").select("record_id", "solvent", "label")
 
 
 add("semi_join_groups", _semi,
