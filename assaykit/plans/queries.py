@@ -321,3 +321,16 @@ add("dataset_summary", _summary,
 # Remaining families register themselves on import.
 from . import queries_metrics, queries_sequence, queries_splits  # noqa: E402,F401
 from . import queries_io  # noqa: E402,F401
+
+
+def _row_index(spark, sf):
+    """Position of each document in its source files (Parquet row index +
+    per-file offsets; no sort, no single task)."""
+    from ..operators.rows import with_file_row_index
+    return with_file_row_index(fx.read(spark, sf, "documents").select("doc_id", "lang")) \
+        .select("doc_id", "lang", "source_row_index")
+
+
+add("row_index", _row_index,
+    "SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS source_row_index "
+    "FROM documents")
