@@ -113,6 +113,24 @@ def _logistic(train_n: int, p: ModelParams) -> LogisticRegression:
                               standardization=False, maxIter=p.logistic_max_iter, tol=1e-6)
 
 
+MODEL_MODES = {"sequence_logistic": ("sequence", True), "solvent_logistic": ("condition", True),
+               "sequence_solvent_logistic": ("both", True),
+               "sequence_solvent_random_forest": ("both", False),
+               "sequence_solvent_gradient_boosting": ("both", False)}
+
+
+def estimator(name: str, train_n: int, p: ModelParams):
+    if name.endswith("logistic"):
+        return _logistic(train_n, p)
+    if name.endswith("random_forest"):
+        return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight",
+                                      numTrees=p.forest_trees, maxDepth=p.forest_max_depth,
+                                      minInstancesPerNode=p.forest_min_leaf,
+                                      featureSubsetStrategy="sqrt", seed=p.seed)
+    return GBTClassifier(featuresCol="features", labelCol="y", maxIter=p.boosting_iters,
+                         maxDepth=p.boosting_depth, stepSize=p.boosting_step, seed=p.seed)
+
+
 def fit_predict(name: str, train: DataFrame, test: DataFrame, p: ModelParams,
                 id_col: str = "record_id") -> DataFrame:
     """Fit one model on ``train`` and return ``test`` with y_pred and p."""
@@ -120,28 +138,37 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, p: ModelParams,
         return predict_majority(train, test)
     if name == "stratified_dummy":
         return predict_stratified_dummy(train, test, p.seed, id_col)
-    mode = {"sequence_logistic": ("sequence", True), "solvent_logistic": ("condition", True),
-            "sequence_solvent_logistic": ("both", True),
-            "sequence_solvent_random_forest": ("both", False),
-            "sequence_solvent_gradient_boosting": ("both", False)}[name]
-    stages = feature_stages(*mode)
-    wtrain = with_weights(train)
-    if name.endswith("logistic"):
-        est = _logistic(train.count(), p)
-    elif name.endswith("random_forest"):
-        est = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight",
-                                     numTrees=p.forest_trees, maxDepth=p.forest_max_depth,
-                                     minInstancesPerNode=p.forest_min_leaf,
-                                     featureSubsetStrategy="sqrt", seed=p.seed)
-    else:
-        est = GBTClassifier(featuresCol="features", labelCol="y", maxIter=p.boosting_iters,
-                            maxDepth=p.boosting_depth, stepSize=p.boosting_step, seed=p.seed)
-    model = Pipeline(stages=stages + [est]).fit(wtrain)
+    stages = feature_stages(*MODEL_MODES[name])
+    model = Pipeline(stages=stages + [estimator(name, train.count(), p)]).fit(with_weights(train))
     return _p1(model.transform(test))
 
 
+class FoldFeatures:
+    """Feature pipelines of one fold, each fitted once on the training rows
+    and shared by every model of that mode; transformed training vectors
+    are cached for the iterative fits."""
+
+    def __init__(self, train: DataFrame, test: DataFrame):
+        self.train, self.test = with_weights(train), test
+        self.n = train.count()
+        self._done: dict = {}
+
+    def get(self, mode: tuple):
+        if mode not in self._done:
+            pm = Pipeline(stages=feature_stages(*mode)).fit(self.train)
+            tr = pm.transform(self.train).select("record_id", "y", "weight", "features").cache()
+            te = pm.transform(self.test).select("record_id", "y", "features")
+            self._done[mode] = (tr, te)
+        return self._done[mode]
+
+    def release(self):
+        for tr, _ in self._done.values():
+            tr.unpersist()
+
+
 def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams | None = None,
-                  models: list[str] | None = None) -> tuple[DataFrame, list[tuple]]:
+                  models: list[str] | None = None,
+                  parallel_folds: int = 4) -> tuple[DataFrame, list[tuple]]:
     """For every (protocol, fold) of ``assignments`` (record_id, protocol,
     fold, split) and every model: fit on train only, score test.
 
@@ -156,27 +183,50 @@ def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams |
     tagged = materialize(data.join(assignments.select("record_id", "protocol", "fold", "split"),
                                    "record_id"), "grid_input")
     folds = sorted(tuple(r) for r in tagged.select("protocol", "fold").distinct().collect())
-    preds, errors = [], []
-    for proto, fold in folds:
+
+    def run_fold(pf):
+        proto, fold = pf
+        f_preds, f_errors = [], []
         f = tagged.where((F.col("protocol") == proto) & (F.col("fold") == fold))
         train = f.where(F.col("split") == "train").cache()
         test = f.where(F.col("split") == "test")
         if train.isEmpty() or test.isEmpty():
-            errors.append((proto, fold, "__split__", "Empty train or test split after matching record_id."))
-            continue
+            f_errors.append((proto, fold, "__split__", "Empty train or test split after matching record_id."))
+            train.unpersist()
+            return f_preds, f_errors
+        ff = FoldFeatures(train, test)
         for m in models:
             try:
-                out = fit_predict(m, train, test, params)
-                preds.append(materialize(out.select(
+                if m in MODEL_MODES:
+                    tr, te = ff.get(MODEL_MODES[m])
+                    out = _p1(estimator(m, ff.n, params).fit(tr).transform(te))
+                else:
+                    out = fit_predict(m, train, test, params)
+                f_preds.append(out.select(
                     F.lit(proto).alias("protocol"), F.lit(fold).cast("int").alias("fold"),
                     F.lit(m).alias("model"), "record_id", "y", F.col("y_pred").cast("int").alias("y_pred"),
-                    F.col("p").cast("double").alias("p")), "grid_pred"))
+                    F.col("p").cast("double").alias("p")))
             except Exception as e:  # recorded, as the source does
-                errors.append((proto, fold, m, repr(e)))
+                f_errors.append((proto, fold, m, repr(e)))
+        out_tbl = materialize(_union(f_preds), "fold_predictions") if f_preds else None
+        ff.release()
         train.unpersist()
+        return ([out_tbl] if out_tbl is not None else []), f_errors
+
+    # folds are independent Spark jobs; a few run concurrently from the driver
+    from concurrent.futures import ThreadPoolExecutor
+    preds, errors = [], []
+    with ThreadPoolExecutor(max_workers=max(1, parallel_folds)) as pool:
+        for p_list, e_list in pool.map(run_fold, folds):
+            preds += p_list
+            errors += e_list
     if not preds:
         return None, errors
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    return out, errors
+    return _union(preds), errors
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
