@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WS_CLASS, _c, clean_text
+from .text import WS_CHARS, WS_CLASS, _c, clean_text
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the source semantics)
@@ -31,7 +31,7 @@ def normalize_label(x) -> Column:
     soluble`` give 1 (only ``not soluble`` with a space is negative)."""
     s = clean_text(x)
     low = F.lower(s)
-    compact = F.regexp_replace(low, f"[{WS_CLASS}_\\-]+", "")
+    compact = F.translate(low, WS_CHARS + "_-", "")  # drop whitespace, '_' and '-'
     neg = (compact.contains(LABEL_NEGATIVE_COMPACT) | low.contains(LABEL_NEGATIVE_PHRASE))
     for w in LABEL_NEGATIVE_CJK:
         neg = neg | s.contains(w)

@@ -24,6 +24,9 @@ WEIRD_CHARS = "ÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞß£¨
 WS_CLASS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WS_RUN = f"[{WS_CLASS}]+"
+# The same set as single characters, for translate() (one pass, no regex).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 # First decimal number in a text (ASCII digits).
 NUMBER_PATTERN = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
@@ -43,8 +46,9 @@ def clean_text(x) -> Column:
     (:func:`assaykit.functions.mojibake.fix_mojibake`)."""
     c = _c(x)
     s = F.replace(c, F.lit("\ufeff"), F.lit(""))
-    s = F.translate(s, "\u00a0", " ")
-    s = F.regexp_replace(s, WS_RUN, " ")
+    # every whitespace character (nbsp included) -> space, then space runs -> one
+    s = F.translate(s, WS_CHARS, " " * len(WS_CHARS))
+    s = F.regexp_replace(s, " {2,}", " ")
     return F.trim(s)
 
 
@@ -73,7 +77,8 @@ def weird_count(x) -> Column:
 def normalize_sequence(x) -> Column:
     """clean_text, upper-case, drop all whitespace; null -> ''."""
     c = _c(x)
-    return F.coalesce(F.regexp_replace(F.upper(clean_text(c)), WS_RUN, ""), F.lit(""))
+    # after clean_text the only whitespace left is the plain space
+    return F.coalesce(F.replace(F.upper(clean_text(c)), F.lit(" "), F.lit("")), F.lit(""))
 
 
 def letters_only_sequence(x) -> Column:

@@ -120,8 +120,11 @@ def features_of(df: DataFrame, seq_col: str) -> DataFrame:
 
 def join_long_features(long: DataFrame, feats: DataFrame) -> DataFrame:
     """``features_for_model``: left join of long rows with the features on
-    (sequence_id, sequence_clean)."""
-    return long.join(feats.drop("sequence_raw"), ["sequence_id", "sequence_clean"], "left")
+    (sequence_id, sequence_clean). The text is compared through its SHA-1,
+    so the join key stays 52 bytes whatever the sequence length."""
+    f = feats.drop("sequence_raw").withColumn("_k", sha1_hex("sequence_clean")).drop("sequence_clean")
+    l = long.withColumn("_k", sha1_hex("sequence_clean"))
+    return l.join(f, ["sequence_id", "_k"], "left").drop("_k")
 
 
 def sequence_qc(feats: DataFrame) -> DataFrame:
