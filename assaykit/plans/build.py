@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import qc
 from ..operators.ingest import condition_columns, ingest_wide
 from ..operators.reshape import unknown_label_values, wide_to_long
-from ..session import materialize, scratch_path
+from ..session import materialize
 from . import fixtures
 
 
@@ -51,9 +51,9 @@ class DatasetBuild:
 
     def persist_long(self) -> DataFrame:
         """Write the long table once (shared folder) and read it back."""
-        path = scratch_path(self.spark, "long")
-        self.long.write.mode("overwrite").parquet(path)
-        self.__dict__["long"] = self.spark.read.parquet(path)
+        if not self.__dict__.get("_long_written"):
+            self.__dict__["long"] = materialize(self.long, "long")
+            self.__dict__["_long_written"] = True
         return self.long
 
     # QC tables -------------------------------------------------------------
@@ -83,7 +83,9 @@ class DatasetBuild:
 
     def summary(self) -> DataFrame:
         """One-row dataset summary (global counts), built from scalar
-        subqueries so it is a single job."""
+        subqueries. Each re-derives the long table from the written clean
+        table: cheaper than writing the long table, which repeats the
+        whole-text columns once per labelled cell."""
         long, clean, feats = self.long, self.clean, self.features
         lv = self.label_variability()
         dc = self.duplicate_conflicts()
