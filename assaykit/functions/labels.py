@@ -24,12 +24,14 @@ STRICT_NEGATIVE = ["0", "false", "f", "no", "n", "neg", "negative", "insoluble",
                    "not soluble", "non-soluble", "nonsoluble"]
 
 
-def normalize_label(x) -> Column:
+def normalize_label(x, cleaned: bool = False) -> Column:
     """Lenient label -> 1 / 0 / null (int).
 
     Substring rules, negatives first: ``not-soluble`` and ``slightly
-    soluble`` give 1 (only ``not soluble`` with a space is negative)."""
-    s = clean_text(x)
+    soluble`` give 1 (only ``not soluble`` with a space is negative).
+    ``cleaned=True`` skips the (idempotent) text cleaning for cells that
+    already went through :func:`clean_text`."""
+    s = _c(x) if cleaned else clean_text(x)
     low = F.lower(s)
     compact = F.translate(low, WS_CHARS + "_-", "")  # drop whitespace, '_' and '-'
     neg = (compact.contains(LABEL_NEGATIVE_COMPACT) | low.contains(LABEL_NEGATIVE_PHRASE))

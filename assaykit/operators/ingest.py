@@ -85,7 +85,7 @@ def condition_stats_frame(clean: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(condition_candidates(clean)):
         v = q(c).cast("string")
-        aggs.append(F.count(normalize_label(v)).alias(f"l{i}"))
+        aggs.append(F.count(normalize_label(v, cleaned=True)).alias(f"l{i}"))
         aggs.append(F.count(v).alias(f"n{i}"))
     return clean.agg(*aggs)
 

@@ -28,10 +28,14 @@ def _unpivot(clean: DataFrame, conditions: list[str], keep: list[str]) -> DataFr
 def wide_to_long(clean: DataFrame, conditions: list[str]) -> DataFrame:
     """Labelled long table (18 columns when all metadata roles exist):
     observation_id, source_row_index, sequence_id, sequence_raw,
-    sequence_clean, solvent_name, solvent_id, label_raw, y, metadata..."""
+    sequence_clean, solvent_name, solvent_id, label_raw, y, metadata...
+
+    ``clean`` is the output of :func:`assaykit.operators.ingest.ingest_wide`,
+    so its cells are already cleaned."""
     opt = [c for c in LONG_OPTIONAL if c in clean.columns]
     cells = _unpivot(clean, conditions, LONG_IDS + opt)
-    labelled = cells.withColumn("y", normalize_label("label_raw")).where(F.col("y").isNotNull())
+    y = normalize_label("label_raw", cleaned=True)
+    labelled = cells.withColumn("y", y).where(F.col("y").isNotNull())
     sid = slugify("solvent_name")
     return labelled.select(
         stable_id("obs", "sequence_id", sid, INDEX_COL).alias("observation_id"),
@@ -43,6 +47,7 @@ def unknown_label_values(clean: DataFrame, conditions: list[str]) -> DataFrame:
     """Non-null condition cells whose label does not parse:
     (row_index, solvent_column, raw_value)."""
     cells = _unpivot(clean, conditions, [INDEX_COL])
-    return (cells.where(F.col("label_raw").isNotNull() & normalize_label("label_raw").isNull())
+    return (cells.where(F.col("label_raw").isNotNull()
+                        & normalize_label("label_raw", cleaned=True).isNull())
             .select(F.col(INDEX_COL).alias("row_index"), F.col("solvent_name").alias("solvent_column"),
                     F.col("label_raw").alias("raw_value")))
