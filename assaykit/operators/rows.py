@@ -63,6 +63,8 @@ def with_partition_row_index(df: DataFrame, name: str = "row_index",
     tagged = (df.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     if materialize:
+        from ..session import shared_dir
+        shared_dir(df.sparkSession)  # reliable checkpoint under spark.checkpoint.dir
         tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
