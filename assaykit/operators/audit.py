@@ -123,7 +123,7 @@ def audit_required_files(spark: SparkSession, root: str, required: list[str]) ->
     (warning); one listing of the folder via the binaryFile source
     (contents are not read for the length column)."""
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-               .select(F.regexp_replace("path", "^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
+               .select(F.regexp_replace("path", "^.*?\\Q" + root.rstrip("/").split("://")[-1] + "\\E/", "")
                        .alias("rel"), F.col("length")))
     want = spark.createDataFrame([(r,) for r in required], "rel string")
     j = want.join(listing, "rel", "left")

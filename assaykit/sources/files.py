@@ -135,7 +135,7 @@ def file_hash_inventory(spark: SparkSession, root: str, pattern: str = "*") -> D
     Hashing runs in the tasks that read the bytes (binaryFile source)."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
           .option("pathGlobFilter", pattern).load(root))
-    rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
+    rel = F.regexp_replace(F.col("path"), "^.*?\\Q" + root.rstrip("/").split("://")[-1] + "\\E/", "")
     low = F.lower(F.col("path"))
     mime = F.lit("application/octet-stream")
     for suffix, m in reversed(MIME_BY_SUFFIX):
