@@ -86,9 +86,10 @@ def _placed(matches: Column, gaps: Column, context: int) -> Column:
     """Spans of ``matches``, given the strings between them."""
     before = (lambda s: F.right(s, F.lit(context))) if context else (lambda s: F.lit(""))
     after = (lambda s: F.left(s, F.lit(context))) if context else (lambda s: F.lit(""))
-    items = F.transform(matches, lambda x, i: F.struct(
-        F.length(F.get(gaps, i)).alias("gap"), F.length(x).alias("n"), x.alias("value"),
-        before(F.get(gaps, i)).alias("before"), after(F.get(gaps, i + 1)).alias("after")))
+    # Zipped, not indexed: a column named inside a lambda could be inlined there and computed for each match.
+    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda x, b: F.struct(x.alias("value"), b.alias("gap")))
+    items = F.zip_with(pairs, F.slice(gaps, 2, F.size(matches)), lambda p, a: F.struct(
+        F.length(p["gap"]).alias("gap"), F.length(p["value"]).alias("n"), p["value"].alias("value"), before(p["gap"]).alias("before"), after(a).alias("after")))
     spans = running(
         items, SPAN,
         lambda pos, x: F.struct((pos + x["gap"]).alias("start"), (pos + x["gap"] + x["n"]).alias("end"), x["value"], x["before"], x["after"]),
