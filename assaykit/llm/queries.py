@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import pii, quality, secret_scan
+from assaykit.llm import line_dedup, pii, quality, secret_scan
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_secret_scan": lambda s, d: secret_scan.report(_docs(s, d)),
+        "op5_line_dedup": lambda s, d: line_dedup.report(_docs(s, d)),
         "op6_quality_rules": lambda s, d: quality.report(_docs(s, d)),
         "op9_pii": lambda s, d: pii.report(_docs(s, d)),
     }
