@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import line_dedup, pii, quality, secret_scan, simhash
+from assaykit.llm import decontam, line_dedup, pii, quality, secret_scan, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontam": lambda s, d: decontam.report(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op2_simhash": lambda s, d: simhash.report(_docs(s, d)),
         "op3_secret_scan": lambda s, d: secret_scan.report(_docs(s, d)),
         "op5_line_dedup": lambda s, d: line_dedup.report(_docs(s, d)),
