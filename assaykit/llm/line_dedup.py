@@ -58,7 +58,7 @@ def windows(docs: DataFrame, text: str, min_words: int) -> DataFrame:
     """One row per document and window: d, x (the document), fp, at (the line
     that is the fingerprint), key (content), first, last (lines)."""
     df = docs.select("d", "x", _lines(whole(F.col(text))).alias("lines"))
-    df = df.withColumn("total", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])).where(F.col("total") >= min_words)
+    df = df.withColumn("total", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     df = df.withColumn("before", running(F.col("lines"), "bigint", lambda pos, x: pos, lambda x: x["n"]))
     df = df.select("d", "x", "lines", F.concat("before", F.array("total")).alias("sums"))
     sums, lines, k = F.col("sums"), F.col("lines"), F.size("lines")
@@ -73,14 +73,16 @@ def windows(docs: DataFrame, text: str, min_words: int) -> DataFrame:
         key = F.aggregate(span, F.lit(0).cast("long"), lambda a, i: F.xxhash64(a, line(i)["h"]))
         return F.struct(least["h"].alias("fp"), least["i"].alias("at"), key.alias("key"), line(w["a"])["i"].alias("first"), line(w["b"])["i"].alias("last"))
 
-    return df.select("d", "x", F.explode(F.transform("w", told).cast(_WINDOW)).alias("w")).select("d", "x", "w.*")
+    # explode_outer: Spark copies what feeds a plain explode into a filter below it, and would compute it twice.
+    return df.select("d", "x", F.explode_outer(F.transform("w", told).cast(_WINDOW)).alias("w")).where("w is not null").select("d", "x", "w.*")
 
 
 def repeated(docs: DataFrame, text: str, min_words: int) -> DataFrame:
     """One row per document that has later copies: d, x and ``runs``, its
     windows (first, last) to delete."""
     found = materialize(windows(docs, text, min_words), "windows")
-    often = found.groupBy("fp").agg(F.min(F.struct("d", "x", "at")).alias("low"), F.max(F.struct("d", "x", "at")).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("fp")
+    spot = F.xxhash64("d", "x", "at")
+    often = found.groupBy("fp").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("fp")
     # Written, so that the next grouping deals by fingerprint and content after its own partial sums.
     some = materialize(found.join(often, "fp", "left_semi"), "repeated")
     place = F.struct("d", "x", "first")
