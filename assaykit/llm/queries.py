@@ -5,7 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontam, line_dedup, pii, quality, secret_scan, simhash
+from assaykit.llm import bpe, decontam, line_dedup, pii, quality, secret_scan, simhash
+
+
+def tokenizer_path() -> str:
+    """Where the public vocabulary file is; it is read, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontam": lambda s, d: decontam.report(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op2_simhash": lambda s, d: simhash.report(_docs(s, d)),
         "op3_secret_scan": lambda s, d: secret_scan.report(_docs(s, d)),
+        "op4_bpe": lambda s, d: bpe.report(_docs(s, d), tokenizer_path()),
         "op5_line_dedup": lambda s, d: line_dedup.report(_docs(s, d)),
         "op6_quality_rules": lambda s, d: quality.report(_docs(s, d)),
         "op9_pii": lambda s, d: pii.report(_docs(s, d)),
