@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import bpe, decontam, line_dedup, pii, quality, secret_scan, sharding, simhash, toxicity
+from assaykit.llm import bpe, decontam, html_extract, line_dedup, pii, quality, secret_scan, sharding, simhash, toxicity
 
 
 def tokenizer_path() -> str:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": lambda s, d: line_dedup.report(_docs(s, d)),
         "op6_quality_rules": lambda s, d: quality.report(_docs(s, d)),
         "op7_sharding": lambda s, d: sharding.report(_docs(s, d)),
+        "op8_html_extract": lambda s, d: html_extract.report(s.read.parquet(f"{d}/pages.parquet")),
         "op9_pii": lambda s, d: pii.report(_docs(s, d)),
         "op10_toxicity": lambda s, d: toxicity.report(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
     }
