@@ -63,7 +63,7 @@ def training(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, MOST_TRAINING / n))) for y, n in counts.items()], F.lit(0.0))
     drawn = known.withColumn("rate", rate).where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
-    drawn = materialize(drawn.select(F.col("doc_id").alias("_id"), "y", (1 / F.col("rate")).alias("w")), "toxicity_labels")
+    drawn = materialize(drawn.select(F.col("doc_id").alias("_id"), "y", F.try_divide(F.lit(1.0), F.col("rate")).alias("w")), "toxicity_labels")
     return docs.select(F.col("doc_id").alias("_d"), whole(F.col("text")).alias("text")).join(F.broadcast(drawn), F.col("_d") == F.col("_id")).select("text", "y", "w")
 
 
