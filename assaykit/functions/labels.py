@@ -24,6 +24,9 @@ STRICT_NEGATIVE = ["0", "false", "f", "no", "n", "neg", "negative", "insoluble",
                    "not soluble", "non-soluble", "nonsoluble"]
 
 
+PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
+
+
 def normalize_label(x, cleaned: bool = False) -> Column:
     """Lenient label -> 1 / 0 / null (int).
 
@@ -53,7 +56,8 @@ def normalize_label_strict(x) -> Column:
     with :func:`require_labels`). Numeric columns pass 0/1 through."""
     c = _c(x)
     v = F.lower(F.regexp_replace(c.cast("string"), f"^[{WS_CLASS}]+|[{WS_CLASS}]+$", ""))
-    num = v.try_cast("double")
+    # Only plain decimal or exponent notation is a number; the cast alone also takes suffixes as in 1d.
+    num = F.when(v.rlike(PLAIN_NUMBER), v.try_cast("double"))
     none = F.lit(None).cast("int")
     return (F.when(c.isNull(), none)
             .when(v.isin(STRICT_POSITIVE), F.lit(1))
@@ -82,5 +86,4 @@ def require_labels(df: DataFrame, raw_col: str, label_col: str, id_col: str | No
             q = q.orderBy(id_col)
         examples = [tuple(r) for r in q.limit(max_examples).collect()]
         raise LabelError(
-            f"Label column contains {n_bad} unrecognized or missing values. "
-            f"First examples: {examples}")
+            f"{n_bad} labels are missing or not understood, such as {examples}")

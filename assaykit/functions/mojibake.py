@@ -8,8 +8,10 @@ so Python sees each distinct value once.
 """
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,38 +19,47 @@ from pyspark.sql import types as T
 from .text import WEIRD_CHARS
 
 
-def _cjk(s: str) -> int:
-    return sum(1 for ch in s if "一" <= ch <= "鿿")
+_HAN = re.compile("[\u4e00-\u9fff]")
+_ODD = re.compile("[" + re.escape("".join(WEIRD_CHARS)) + "]")
 
 
-def _weird(s: str) -> int:
-    return sum(1 for ch in s if ch in WEIRD_CHARS)
+def _redecoded(text: str) -> str | None:
+    """Latin-1 bytes read as GB18030, or None where either codec refuses."""
+    try:
+        return text.encode("latin-1").decode("gb18030")
+    except UnicodeError:
+        return None
 
 
-def fix_mojibake_text(s):
-    """Python reference of the rule (used for headers, driver-side, and by
-    the UDF): re-decode Latin-1 bytes as GB18030; keep the candidate only
-    if (CJK count - weird count) rises; any codec error keeps the input."""
-    if not isinstance(s, str):
-        return s
-    try:
-        cand = s.encode("latin1").decode("gb18030")
-    except Exception:
-        return s
-    return cand if _cjk(cand) - _weird(cand) > _cjk(s) - _weird(s) else s
+def repaired(texts: pd.Series) -> pd.Series:
+    """Each text, or what re-decoding makes of it where that has more Chinese
+    characters net of odd ones."""
+    other = texts.map(_redecoded, na_action="ignore")
+    gain = pd.Series(0, index=texts.index)
+    for sign, series in ((1, other), (-1, texts)):
+        told = series.astype(object).where(series.notna(), "")
+        gain += sign * (told.str.count(_HAN.pattern) - told.str.count(_ODD.pattern))
+    return texts.where(~(other.notna() & (gain > 0)), other)
+
+
+def fix_mojibake_text(text):
+    """The rule for one value (headers, on the driver); others than strings
+    are returned as they are."""
+    return repaired(pd.Series([text], dtype=object)).iloc[0] if isinstance(text, str) else text
 
 
 @F.pandas_udf(T.StringType())
 def fix_mojibake(col: pd.Series) -> pd.Series:
-    return col.map(fix_mojibake_text)
+    return repaired(col)
 
 
 def repair_column(df: DataFrame, name: str) -> DataFrame:
     """Replace ``name`` by its repaired text. Only distinct values that
-    hold a non-ASCII character go through Python; the fix table is joined
-    back on the original value (ASCII text can never change)."""
-    fixes = (df.select(F.col(name).alias("_orig")).where(F.col("_orig").rlike("[^\\x00-\\x7F]"))
-             .distinct().select("_orig", fix_mojibake(F.col("_orig")).alias("_fixed")))
-    cols = [F.coalesce(F.col("_fixed"), F.col(name)).alias(name) if c == name else F.col(c)
-            for c in df.columns]
-    return df.join(fixes, df[name] == fixes["_orig"], "left").select(*cols)
+    hold a non-ASCII character go through Python; the fixes that change a
+    value are joined back by its SHA-1 (ASCII text can never change)."""
+    col = F.col(f"`{name}`")
+    odd = df.select(col.alias("_orig")).where(F.col("_orig").rlike("[^\\x00-\\x7F]"))
+    fixes = odd.groupBy(F.sha1("_orig").alias("_key")).agg(F.first("_orig").alias("_orig"))
+    fixes = fixes.select("_key", "_orig", fix_mojibake(F.col("_orig")).alias("_fixed")).where("_fixed <> _orig").drop("_orig")
+    cols = [F.coalesce(F.col("_fixed"), col).alias(name) if c == name else F.col(f"`{c}`") for c in df.columns]
+    return df.join(fixes, F.sha1(col) == F.col("_key"), "left").select(*cols)

@@ -31,51 +31,48 @@ def _finding(df: DataFrame, check: str, severity: str, detail, n) -> DataFrame:
 
 def audit_required_columns(long: DataFrame, required=REQUIRED_LONG_COLUMNS) -> DataFrame:
     missing = [c for c in required if c not in long.columns]
-    return _rows(long.sparkSession, [("required_columns", "error", f"Missing column in long table: {c}", None)
+    return _rows(long.sparkSession, [("required_columns", "error", f"the long table has no column {c}", None)
                                      for c in missing])
 
 
 def audit_row_count(long: DataFrame, expected: int) -> DataFrame:
     n = long.agg(F.count(F.lit(1)).alias("n"))
     return _finding(n.where(F.col("n") != expected), "row_count", "error",
-                    F.concat(F.lit("Unexpected n_records: "), F.col("n").cast("string")), F.col("n"))
+                    F.concat(F.lit("record count differs: "), F.col("n").cast("string")), F.col("n"))
 
 
 def audit_unique_key(long: DataFrame, key: str = "observation_id") -> DataFrame:
     dup = long.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     agg = dup.agg(F.count(F.lit(1)).alias("n"))
     return _finding(agg.where(F.col("n") > 0), "unique_key", "error",
-                    F.lit(f"{key} is not unique"), F.col("n"))
+                    F.lit(f"values of {key} repeat"), F.col("n"))
 
 
 def audit_distinct_counts(long: DataFrame, expected_sequences: int, expected_conditions: int,
                           seq_col: str = "sequence_clean", cond_col: str = "solvent_name") -> DataFrame:
     a = long.agg(F.countDistinct(seq_col).alias("s"), F.countDistinct(cond_col).alias("c"))
     s = _finding(a.where(F.col("s") != expected_sequences), "distinct_sequences", "error",
-                 F.concat(F.lit("Unexpected n_unique_sequences: "), F.col("s").cast("string")), F.col("s"))
+                 F.concat(F.lit("sequence count differs: "), F.col("s").cast("string")), F.col("s"))
     c = _finding(a.where(F.col("c") != expected_conditions), "distinct_conditions", "error",
-                 F.concat(F.lit("Unexpected n_unique_solvents: "), F.col("c").cast("string")), F.col("c"))
+                 F.concat(F.lit("condition count differs: "), F.col("c").cast("string")), F.col("c"))
     return s.unionByName(c)
 
 
 def audit_positive_rate(long: DataFrame, expected: float, tol: float = 1e-12) -> DataFrame:
     a = long.agg(F.avg(F.col("y").cast("double")).alias("r"))
     return _finding(a.where(F.abs(F.col("r") - F.lit(expected)) > tol), "positive_rate", "error",
-                    F.concat(F.lit("Unexpected positive_rate: "), F.format_string("%.12f", F.col("r"))),
+                    F.concat(F.lit("share of positives differs: "), F.format_string("%.12f", F.col("r"))),
                     F.lit(None))
 
 
 def audit_binary_label(long: DataFrame, col: str = "y") -> DataFrame:
     bad = long.where(F.col(col).isNotNull() & ~F.col(col).isin(0, 1)).agg(F.count(F.lit(1)).alias("n"))
     return _finding(bad.where(F.col("n") > 0), "binary_label", "error",
-                    F.lit(f"{col} contains non-binary values"), F.col("n"))
+                    F.lit(f"{col} has values other than 0 and 1"), F.col("n"))
 
 
 def split_id_column(columns: list[str]) -> str | None:
-    for c in SPLIT_ID_CANDIDATES:
-        if c in columns:
-            return c
-    return None
+    return min(set(columns) & set(SPLIT_ID_CANDIDATES), key=SPLIT_ID_CANDIDATES.index, default=None)
 
 
 def audit_split_refs(long: DataFrame, split: DataFrame, name: str,
@@ -86,15 +83,15 @@ def audit_split_refs(long: DataFrame, split: DataFrame, name: str,
     idc = split_id_column(split.columns)
     if idc is None:
         return _rows(spark, [("split_refs", "error",
-                              f"Split file lacks observation id column: {name}; columns={split.columns}", None)])
+                              f"no id column among {split.columns} of split {name}", None)])
     empty = _finding(split.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0), "split_refs", "error",
-                     F.lit(f"Split file is empty: {name}"), F.lit(0))
+                     F.lit(f"no rows in split {name}"), F.lit(0))
     ids = split.select(F.col(idc).cast("string").alias("_id")).distinct()
     known = long.select(F.col(data_key).cast("string").alias("_id"))
     unknown = ids.join(known, "_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
     bad = _finding(unknown.where(F.col("n") > 0), "split_refs", "error",
-                   F.concat(F.lit("Split file has "), F.col("n").cast("string"),
-                            F.lit(f" unknown ids: {name}")), F.col("n"))
+                   F.concat(F.lit("ids that the data lack: "), F.col("n").cast("string"),
+                            F.lit(f" in split {name}")), F.col("n"))
     return empty.unionByName(bad)
 
 
@@ -109,12 +106,12 @@ def audit_result_rows(results: DataFrame, errors: DataFrame | None = None,
                       expected: int = EXPECTED_RESULT_ROWS) -> DataFrame:
     n = results.agg(F.count(F.lit(1)).alias("n"))
     out = _finding(n.where(F.col("n") != expected), "result_rows", "warning",
-                   F.concat(F.lit("baseline results have "), F.col("n").cast("string"),
-                            F.lit(f" rows, expected {expected}")), F.col("n"))
+                   F.concat(F.lit("result table has "), F.col("n").cast("string"),
+                            F.lit(f" rows instead of {expected}")), F.col("n"))
     if errors is not None:
         e = errors.agg(F.count(F.lit(1)).alias("n"))
         out = out.unionByName(_finding(e.where(F.col("n") > 0), "result_errors", "error",
-                                       F.lit("baseline errors are not empty"), F.col("n")))
+                                       F.lit("the error table has rows"), F.col("n")))
     return out
 
 
@@ -125,10 +122,12 @@ def audit_required_files(spark: SparkSession, root: str, required: list[str]) ->
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
                .select(F.regexp_replace("path", "^.*?\\Q" + root.rstrip("/").split("://")[-1] + "\\E/", "")
                        .alias("rel"), F.col("length")))
+    # A table written by Spark is a folder of parts under the required name.
+    listing = listing.groupBy(F.regexp_replace("rel", r"(\.[a-z]+)/.*$", "$1").alias("rel")).agg(F.sum("length").alias("length"))
     want = spark.createDataFrame([(r,) for r in required], "rel string")
     j = want.join(listing, "rel", "left")
     miss = _finding(j.where(F.col("length").isNull()), "required_files", "error",
-                    F.concat(F.lit("Missing required file: "), F.col("rel")), F.lit(None))
+                    F.concat(F.lit("file not found: "), F.col("rel")), F.lit(None))
     empty = _finding(j.where(F.col("length") == 0), "required_files", "warning",
-                     F.concat(F.lit("File exists but is empty: "), F.col("rel")), F.lit(0))
+                     F.concat(F.lit("file without content: "), F.col("rel")), F.lit(0))
     return miss.unionByName(empty)

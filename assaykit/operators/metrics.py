@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "mcc", "kappa",
            "roc_auc", "average_precision", "brier"]
+RANKING = ["roc_auc", "average_precision"]
 SCORE_BUCKETS = 1024
 
 
@@ -108,20 +109,26 @@ def ranking_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
         F.when(two, F.col("_ap_num") / _d("P")).alias("average_precision"))
 
 
-def metric_table(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """All ten metrics per group (plus the confusion counts)."""
-    thr = threshold_metrics(confusion_counts(scored, keys))
-    rank = ranking_metrics(scored, keys)
-    return thr.join(rank, keys, "left").select(*keys, "tp", "fp", "tn", "fn", *METRICS)
+def metric_table(scored: DataFrame, keys: list[str], metrics: list[str] = METRICS) -> DataFrame:
+    """The metrics asked for per group (plus the confusion counts); the
+    ranking side is built only for those that rank."""
+    out = threshold_metrics(confusion_counts(scored, keys))
+    if set(metrics) & set(RANKING):
+        out = out.join(ranking_metrics(scored, keys), keys, "left")
+    return out.select(*keys, "tp", "fp", "tn", "fn", *metrics)
 
 
-def fold_rates(scored_train: DataFrame, scored_test: DataFrame, keys: list[str]) -> DataFrame:
-    """n_train, n_test and the positive rate of each side per group."""
-    tr = scored_train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"),
-                                         F.avg(_d("y")).alias("train_positive_rate"))
-    te = scored_test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"),
-                                        F.avg(_d("y")).alias("test_positive_rate"))
-    return tr.join(te, keys, "full")
+def fold_rates(train: DataFrame, test: DataFrame, keys: list[str], n: str | None = None) -> DataFrame:
+    """n_train, n_test and the positive rate of each side per group. ``n``
+    names a column of counts where a row stands for several records."""
+    count = F.sum(n) if n else F.count(F.lit(1))
+    positive = F.sum(_d("y") * F.col(n)) if n else F.sum(_d("y"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(count.cast("long").alias(f"n_{name}"),
+                                     F.try_divide(positive, count).alias(f"{name}_positive_rate"))
+
+    return side(train, "train").join(side(test, "test"), keys, "full")
 
 
 def leaderboard_summary(results: DataFrame, keys=("protocol", "model")) -> DataFrame:

@@ -62,8 +62,8 @@ def feature_stages(mode: str, scaled: bool, cols: list[str] = BASELINE_FEATURES,
     if mode in ("condition", "both"):
         stages.append(StringIndexer(inputCol=condition_col, outputCol="cond_idx", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol="cond_idx", outputCol="cond_oh", dropLast=True,
-                                    handleInvalid="keep"))
+        # The indexer's extra label for unseen conditions is the last one, which the encoder drops: all zeros.
+        stages.append(OneHotEncoder(inputCol="cond_idx", outputCol="cond_oh", dropLast=True))
         parts.append("cond_oh")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     return stages
@@ -191,7 +191,7 @@ def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams |
         train = f.where(F.col("split") == "train").cache()
         test = f.where(F.col("split") == "test")
         if train.isEmpty() or test.isEmpty():
-            f_errors.append((proto, fold, "__split__", "Empty train or test split after matching record_id."))
+            f_errors.append((proto, fold, "__split__", "no train rows or no test rows among the records"))
             train.unpersist()
             return f_preds, f_errors
         ff = FoldFeatures(train, test)
@@ -202,16 +202,16 @@ def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams |
                     out = _p1(estimator(m, ff.n, params).fit(tr).transform(te))
                 else:
                     out = fit_predict(m, train, test, params)
-                f_preds.append(out.select(
+                # Written here, so that an error at scoring time is this model's own.
+                f_preds.append(materialize(out.select(
                     F.lit(proto).alias("protocol"), F.lit(fold).cast("int").alias("fold"),
                     F.lit(m).alias("model"), "record_id", "y", F.col("y_pred").cast("int").alias("y_pred"),
-                    F.col("p").cast("double").alias("p")))
-            except Exception as e:  # recorded, as the source does
+                    F.col("p").cast("double").alias("p")), "predictions"))
+            except Exception as e:  # one failing model leaves an error row and the rest
                 f_errors.append((proto, fold, m, repr(e)))
-        out_tbl = materialize(_union(f_preds), "fold_predictions") if f_preds else None
         ff.release()
         train.unpersist()
-        return ([out_tbl] if out_tbl is not None else []), f_errors
+        return f_preds, f_errors
 
     # folds are independent Spark jobs; a few run concurrently from the driver
     from concurrent.futures import ThreadPoolExecutor
@@ -221,10 +221,25 @@ def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams |
             preds += p_list
             errors += e_list
     if not preds:
-        return None, errors
+        empty = "protocol string, fold int, model string, record_id string, y int, y_pred int, p double"
+        return data.sparkSession.createDataFrame([], empty), errors
     return _union(preds), errors
 
 
+def grid_results(data: DataFrame, assignments: DataFrame, predictions: DataFrame, errors: list[tuple]) -> DataFrame:
+    """One row per (protocol, fold, model): sizes and positive rates of the
+    fold's train and test rows, the metrics, and ``error`` (null if it ran)."""
+    from .metrics import METRICS, fold_rates, metric_table
+    keys = ["protocol", "fold"]
+    rows = data.select("record_id", "y").join(assignments.select("record_id", *keys, "split"), "record_id")
+    rates = fold_rates(rows.where("split = 'train'"), rows.where("split = 'test'"), keys)
+    scored = metric_table(predictions, [*keys, "model"]).withColumn("error", F.lit(None).cast("string"))
+    failed = data.sparkSession.createDataFrame(errors, "protocol string, fold int, model string, error string")
+    both = scored.unionByName(failed, allowMissingColumns=True)
+    sizes = ["n_train", "n_test", "train_positive_rate", "test_positive_rate"]
+    return both.join(rates, keys, "left").select(*keys, "model", *sizes, *METRICS, "error")
+
+
 def _union(dfs: list[DataFrame]) -> DataFrame:
     out = dfs[0]
     for d in dfs[1:]:

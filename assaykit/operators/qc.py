@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,9 @@ from ..functions.conditions import PHYSICAL_COLUMNS, TEMPLATE_NOTE, condition_cl
 from ..functions.sequence import (PEPTIDE_FEATURES, peptide_count_columns,
                                   peptide_descriptor_columns)
 from ..functions.text import missing_sequence_flag, sha1_hex, slugify
+from ..session import materialize
 from .ingest import INDEX_COL
+from .rows import small_join
 
 
 # ---------------------------------------------------------------------------
@@ -166,47 +168,23 @@ def category_counts(df: DataFrame, col: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Exact quantiles without collecting the column
 # ---------------------------------------------------------------------------
-QUANTILE_BUCKETS = 1024
-QUANTILE_COLLECT_LIMIT = 50_000
-
-
-def _order_values(df: DataFrame, col: str, ranks: list[int], n: int) -> dict[int, float]:
+def _order_values(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
     """Values at 0-based ranks of the sorted non-null column, exactly.
 
-    Histogram refinement: count rows per equal-width bucket of the current
-    value range (one aggregate pass, at most QUANTILE_BUCKETS rows to the
-    driver), keep the bucket holding each wanted rank, repeat inside it.
-    A range with few rows left, or a single value, is settled directly;
-    the driver never receives more than QUANTILE_COLLECT_LIMIT values."""
-    x = F.col(col).cast("double")
-    out: dict[int, float] = {}
-    todo = [(r, None, None, 0) for r in sorted(set(ranks))]  # rank, lo, hi, rows below range
-    while todo:
-        r, lo, hi, below = todo.pop()
-        sub = df.select(x.alias("v")).where(F.col("v").isNotNull())
-        if lo is not None:
-            sub = sub.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        st = sub.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx")).first()
-        c, mn, mx = st["c"], st["mn"], st["mx"]
-        k = r - below
-        if mn == mx:
-            out[r] = mn
-            continue
-        if c <= QUANTILE_COLLECT_LIMIT:
-            vals = [row[0] for row in sub.orderBy("v").offset(k).limit(1).collect()]
-            out[r] = vals[0]
-            continue
-        width = (mx - mn) / QUANTILE_BUCKETS
-        b = F.least(F.floor((F.col("v") - F.lit(mn)) / F.lit(width)), F.lit(QUANTILE_BUCKETS - 1))
-        hist = sorted(sub.groupBy(b.cast("int").alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
-        acc = 0
-        for h in hist:
-            if k < acc + h["c"]:
-                todo.append((r, h["mn"], h["mx"], below + acc))
-                break
-            acc += h["c"]
-    return out
+    Equal values are counted in each task first; the distinct values are then
+    range-partitioned and every partition gets the rows before it as offset,
+    so one distributed sort answers all ranks, whatever the values' range
+    (infinities sort as values), and only the wanted rows reach the driver."""
+    counted = (df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+               .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    dealt = materialize(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    before = dealt.groupBy("part").agg(F.sum("c").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ends = small_join(dealt.withColumn("upto", upto), before, "part").withColumn("upto", F.col("before") + F.col("upto"))
+    wanted = F.filter(F.array(*[F.lit(r) for r in sorted(set(ranks))]), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))
+    return {r: row["v"] for row in ends.select("v", wanted.alias("ranks")).where(F.size("ranks") > 0).collect() for r in row["ranks"]}
 
 
 def numeric_summary(df: DataFrame, col: str) -> DataFrame:
@@ -228,10 +206,11 @@ def numeric_summary(df: DataFrame, col: str) -> DataFrame:
     qs = {}
     pos = {p: (n - 1) * p for p in (0.25, 0.5, 0.75)}
     ranks = [int(math.floor(v)) for v in pos.values()] + [int(math.ceil(v)) for v in pos.values()]
-    vals = _order_values(df, col, ranks, n)
+    vals = _order_values(df, col, ranks)
     for p, v in pos.items():
         lo, hi = int(math.floor(v)), int(math.ceil(v))
-        qs[p] = vals[lo] + (vals[hi] - vals[lo]) * (v - lo)
+        # Equal neighbours are taken as they are: infinity minus infinity is no number.
+        qs[p] = vals[lo] if vals[lo] == vals[hi] else vals[lo] + (vals[hi] - vals[lo]) * (v - lo)
     std = float(m["std"]) if n > 1 else 0.0
     row = (n, float(m["mean"]), std, float(m["min"]), qs[0.25], qs[0.5], qs[0.75], float(m["max"]))
     return spark.createDataFrame([row], schema)

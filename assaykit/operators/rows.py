@@ -49,7 +49,7 @@ def with_file_row_index(scan: DataFrame, name: str = "source_row_index") -> Data
         (F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
     out = small_join(tagged, offsets, "_file", rows=len(scan.inputFiles()))
-    return out.select(*[F.col(c) for c in cols],
+    return out.select(*[F.col(f"`{c}`") for c in cols],
                       (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos")).cast("long").alias(name))
 
 
@@ -73,7 +73,7 @@ def with_partition_row_index(df: DataFrame, name: str = "row_index",
                    F.lit(0)).alias("_off"))
     out = tagged.join(F.broadcast(offsets), "_pid")  # one row per partition
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return out.select(*[F.col(c) for c in df.columns], (F.col("_off") + local).cast("long").alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_off") + local).cast("long").alias(name))
 
 
 def digest(seed, id_col) -> Column:

@@ -31,15 +31,12 @@ from .rows import digest, rank_within, small_join
 
 TEST_FRACTION = Fraction(15, 100)
 VAL_FRACTION_OF_REST = Fraction(15, 85)
-STRATA_LIMIT = 100_000
 
 
 def stratum_counts(df: DataFrame, stratum: str) -> list[tuple]:
-    """Sorted (stratum value, count); bounded by ``STRATA_LIMIT``."""
-    rows = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).limit(STRATA_LIMIT + 1).collect()
-    if len(rows) > STRATA_LIMIT:
-        raise ValueError(f"more than {STRATA_LIMIT} strata in {stratum!r}")
-    return sorted((r[0], int(r[1])) for r in rows)
+    """Sorted (stratum value, count), nulls first; one row per label class."""
+    rows = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted(((r[0], int(r[1])) for r in rows), key=lambda kv: (kv[0] is not None, kv[0] or 0))
 
 
 def stratify_feasible(counts: list[tuple], min_count: int) -> bool:
@@ -56,7 +53,7 @@ def allocate(counts: list[tuple], n_draw: int) -> dict:
     exact = {k: Fraction(n * n_draw, total) for k, n in counts}
     out = {k: math.floor(v) for k, v in exact.items()}
     left = n_draw - sum(out.values())
-    order = sorted(counts, key=lambda kv: (-(exact[kv[0]] - out[kv[0]]), kv[0]))
+    order = sorted(counts, key=lambda kv: (-(exact[kv[0]] - out[kv[0]]), kv[0] is not None, kv[0] or 0))
     for k, _ in order[:left]:
         out[k] += 1
     return out
@@ -169,8 +166,7 @@ def _groups(rec: DataFrame) -> DataFrame:
     """(_seq_key, sequence, group_label) per distinct sequence. Grouping and
     the later join back to records use the SHA-1 of the sequence, so the
     (long) sequence text crosses the shuffle once per group, not per row."""
-    keyed = rec.withColumn("_seq_key", F.sha1(F.col("sequence")))
-    g = keyed.groupBy("_seq_key").agg(F.any_value("sequence").alias("sequence"),
+    g = _keyed(rec).groupBy("_seq_key").agg(F.any_value("sequence").alias("sequence"),
                                       F.avg("label").alias("mean"),
                                       F.countDistinct("label").alias("nunique"))
     cls = (F.when(F.col("nunique") > 1, "mixed").when(F.col("mean") >= 0.5, "positive")
@@ -179,7 +175,8 @@ def _groups(rec: DataFrame) -> DataFrame:
 
 
 def _keyed(rec: DataFrame) -> DataFrame:
-    return rec.withColumn("_seq_key", F.sha1(F.col("sequence")))
+    """``rec`` with the key of its sequence; a null sequence is a group of its own."""
+    return rec.withColumn("_seq_key", F.coalesce(F.sha1(F.col("sequence")), F.lit("null")))
 
 
 def split_group_holdout(rec: DataFrame, seed: int) -> DataFrame:
@@ -194,20 +191,15 @@ def split_group_kfold(rec: DataFrame, seed: int, k: int = 5) -> DataFrame:
     return _finish(kfold_table(_keyed(rec).join(g, "_seq_key"), k))
 
 
-CONDITION_LIMIT = 10_000
-
-
 def split_leave_one_condition_out(rec: DataFrame) -> DataFrame:
     """Conditions in code-point order; fold i tests condition i and
     validates on condition (i + 1) mod n; needs >= 3 conditions."""
-    conds = [r[0] for r in rec.select("solvent").distinct().orderBy("solvent")
-             .limit(CONDITION_LIMIT + 1).collect()]
-    if len(conds) > CONDITION_LIMIT:
-        raise ValueError("too many conditions for leave-one-out folds")
-    n = len(conds)
+    conds = rec.select("solvent").where(F.col("solvent").isNotNull()).distinct()
+    n = conds.count()
     if n < 3:
-        raise ValueError("Need at least 3 conditions for condition-held-out splits.")
-    names = F.array(*[F.lit(c) for c in conds])
+        raise ValueError(f"holding out conditions takes three of them; the records have {n}")
+    # The ordered names stay in the plan: a one-row subquery over the distinct conditions.
+    names = conds.select(F.array_sort(F.collect_set("solvent"))).scalar()
     f = F.col("fold")
     test_name = F.element_at(names, f + 1)
     val_name = F.element_at(names, F.pmod(f + 1, F.lit(n)) + 1)
@@ -240,7 +232,17 @@ def assign_splits(records: DataFrame, train_ids: DataFrame, val_ids: DataFrame,
 def require_covered(assigned: DataFrame) -> None:
     n = assigned.where(F.col("split").isNull()).count()
     if n:
-        raise KeyError(f"{n} record ids are in no split")
+        raise KeyError(f"no split holds {n} of the record ids")
+
+
+def match_split(split: DataFrame, records: DataFrame) -> DataFrame:
+    """The records of a split file, with their split; an id that the data or
+    one fold of the file holds twice is an error."""
+    for df, keys, what in ((records, ["record_id"], "data"), (split, [*{"fold"} & {*split.columns}, "record_id"], "split file")):
+        twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
+        if twice:
+            raise KeyError(f"{twice} record ids occur more than once in the {what}")
+    return split.select("record_id", "split").join(records, "record_id")
 
 
 def add_context(assigned: DataFrame, records: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Metric, leaderboard, sort and top-k queries."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -73,16 +72,13 @@ def metric_table(spark, sf):
 
 
 def fold_rates(spark, sf):
+    """The scored rows of a fold are its test rows; its train rows are those of
+    the other folds, copied per fold as counts, not as rows."""
     s = scored(spark, sf)
-    per = s.groupBy("protocol", "model", "fold").agg(F.count(F.lit(1)).alias("c"),
-                                                      F.sum("y").alias("sy"))
-    w = Window.partitionBy("protocol", "model")
-    tot_c, tot_y = F.sum("c").over(w), F.sum("sy").over(w)
-    return per.select("protocol", "model", "fold",
-                      (tot_c - F.col("c")).cast("long").alias("n_train"),
-                      F.col("c").cast("long").alias("n_test"),
-                      ((tot_y - F.col("sy")).cast("double") / (tot_c - F.col("c"))).alias("train_positive_rate"),
-                      (F.col("sy").cast("double") / F.col("c")).alias("test_positive_rate"))
+    per = s.groupBy("protocol", "model", "fold", "y").agg(F.count(F.lit(1)).alias("n"))
+    other = per.select("protocol", "model", F.col("fold").alias("f"), "y", "n")
+    train = other.join(per.select("protocol", "model", "fold").distinct(), ["protocol", "model"]).where(F.col("f") != F.col("fold"))
+    return M.fold_rates(train, per, ["protocol", "model", "fold"], n="n")
 
 
 def results(spark, sf):
@@ -98,11 +94,11 @@ def summary(spark, sf):
 
 W = "WITH " + METRIC_CTES
 add("confusion_counts",
-    lambda s, sf: metric_table(s, sf).select(*KEYS, "tp", "fp", "tn", "fn"),
+    lambda s, sf: M.confusion_counts(scored(s, sf), KEYS).select(*KEYS, "tp", "fp", "tn", "fn"),
     W + "SELECT protocol, fold, model, tp, fp, tn, fn FROM mt")
 for m in M.METRICS:
     add(f"metric_{m}" if m not in ("roc_auc",) else "metric_roc_auc",
-        (lambda mm: lambda s, sf: metric_table(s, sf).select(*KEYS, mm))(m),
+        (lambda mm: lambda s, sf: M.metric_table(scored(s, sf), KEYS, [mm]).select(*KEYS, mm))(m),
         W + f"SELECT protocol, fold, model, {m} FROM mt", [m])
 add("fold_rates", fold_rates,
     W + "SELECT protocol, model, fold, n_train, n_test, train_positive_rate, test_positive_rate FROM fr",

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import splits as SP
+from ..session import materialize
 from . import fixtures as fx
 from .catalog import add
 
@@ -202,7 +203,8 @@ def _assign(spark, sf):
     rec = records(spark, sf)
     t = SP.split_pair_holdout(rec, SEED)
     ids = {k: t.where(F.col("split") == k).select("record_id") for k in ("train", "val", "test")}
-    a = SP.assign_splits(rec, ids["train"], ids["val"], ids["test"])
+    a = materialize(SP.assign_splits(rec, ids["train"], ids["val"], ids["test"]), "assignment")
+    SP.require_covered(a)
     return a
 
 
@@ -225,7 +227,7 @@ add("join_split_context", _ctx, pair_holdout_sql())
 def _match(spark, sf):
     rec = records(spark, sf)
     t = SP.split_fold_extract(SP.split_leave_one_condition_out(rec), 0)
-    return t.select("record_id", "split").join(rec.select("record_id", "label"), "record_id", "inner")
+    return SP.match_split(t, rec).select("record_id", "split", "label")
 
 
 add("match_split_to_data", _match,

@@ -38,9 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     Read from the session; only when it is unset (local tests) a folder is
     created and registered, so checkpoints and scratch tables always land
-    in the one place the cluster shares."""
+    in the one place the cluster shares. On a cluster an unset folder is an
+    error: a folder of the driver's own disk is not seen by executors."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="assaykit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

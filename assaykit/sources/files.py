@@ -112,17 +112,23 @@ def scan_split_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 # JSON, hashes, checksums
 # ---------------------------------------------------------------------------
+def _same_file(path):
+    """A path without its scheme, to compare given paths with scanned ones."""
+    return F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:/{1,3}|^/", "/")
+
+
 def scan_json_validate(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, valid): each file must parse as one JSON document."""
-    # Spark refuses a query that reads only the corrupt-record column, so
-    # one ordinary (never present) field is read alongside it.
-    schema = T.StructType([T.StructField("__probe", T.StringType()),
-                           T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(paths))
-    return (df.select(F.col("_metadata.file_path").alias("file"),
-                      (F.col("_corrupt_record").isNull() | F.col("__probe").isNotNull()).alias("ok"))
-            .groupBy("file").agg(F.min(F.col("ok").cast("int")).cast("boolean").alias("valid")))
+    """(file, valid) for every path given: a file must be one JSON document of
+    any kind. An empty file, and a path that holds no file, is not valid; a
+    folder stands for the files in it, each of which is a document."""
+    # Every file is read whole: it is one document. Paths without rows (empty files) come from the list.
+    text = spark.read.text(paths, wholetext=True)
+    read = text.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").isNotNull().alias("ok"))
+    want = spark.createDataFrame([(p.rstrip("/"),) for p in paths], "given string")
+    at, of = _same_file(F.col("file")), _same_file(F.col("given"))
+    under = (at == of) | at.startswith(F.concat(of, F.lit("/")))
+    found = want.join(read, under, "left")  # a handful of given paths
+    return found.select(F.coalesce("file", "given").alias("file"), F.coalesce("ok", F.lit(False)).alias("valid"))
 
 
 # MIME type by suffix; description by path prefix.
@@ -163,19 +169,27 @@ def checksum_verify(recorded: DataFrame, inventory: DataFrame) -> DataFrame:
     return j.select("rel", "recorded_sha256", "sha256", status.alias("status"))
 
 
+def _finite(c, kind: T.DataType):
+    """``c`` with every NaN or infinite number in it, at any depth, as null."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _finite(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_finite(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def json_safe_row(df: DataFrame) -> DataFrame:
-    """NaN / +-Inf doubles -> null (what a JSON writer can represent)."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c).alias(f.name)
-        cols.append(c)
-    return df.select(*cols)
+    """NaN and infinities -> null, nested ones too (JSON has no such numbers)."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def sink_json(df: DataFrame, path: str) -> None:
-    json_safe_row(df).write.mode("overwrite").json(path)
+    """One JSON object per row; null fields are written as null."""
+    json_safe_row(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def sink_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
