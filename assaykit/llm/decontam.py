@@ -36,52 +36,35 @@ REACH, BLOCK = 48, 1_000_000
 
 def tokens(text: Column) -> Column:
     """Hashes of the tokens of a text, in order."""
-    flat = F.regexp_replace(F.lower(whole(text)), r"[^\p{L}\p{N}]+", " ")
-    return F.transform(F.array_remove(F.split(flat, " ", -1), ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(F.lower(whole(text)), r"[^\p{L}\p{N}]+", -1), ""), lambda w: F.xxhash64(w))
 
 
 def offsets(gap: int) -> list[int]:
     return [*range(SIDE), *range(SIDE + gap, 2 * SIDE + gap)]
 
 
-def _keys(toks: Column, sides: Column, gaps: tuple[int, ...], lengths: list[int]) -> list[tuple[int, list[int], Column]]:
-    """(span, offsets, array of the hash at each position) for each mask;
-    positions that do not fit have null. ``sides`` has the hash of the SIDE
-    tokens from each position."""
-    spaced = [(offsets(g)[-1] + 1, offsets(g), _pair(sides, g)) for g in gaps]
-    return spaced + [(n, list(range(n)), _run(toks, n)) for n in lengths]
+def _positions(df: DataFrame) -> DataFrame:
+    """One row per position ``at`` of ``toks``, with ``side``, the hash of the
+    SIDE tokens from there. The hash is taken after the explode, where it is
+    compiled; outer, as Spark copies what feeds a plain explode into a filter
+    below it and would compute it twice."""
+    df = df.select("*", F.posexplode_outer("toks").alias("at", "t"))
+    return df.withColumn("side", F.xxhash64("t", *[F.get("toks", F.col("at") + k) for k in range(1, SIDE)])).drop("t")
 
 
-def _pair(sides: Column, gap: int) -> Column:
-    other = lambda i: F.get(sides, i + SIDE + gap)
-    return F.transform(sides, lambda s, i: F.when(other(i).isNotNull(), F.xxhash64(F.lit(gap), s, other(i))))
-
-
-def _run(toks: Column, n: int) -> Column:
-    last = lambda i: F.get(toks, i + n - 1)
-    return F.transform(toks, lambda t, i: F.when(last(i).isNotNull(), F.xxhash64(F.lit(-n), t, *[F.get(toks, i + k) for k in range(1, n)])))
-
-
-def _sides(toks: Column) -> Column:
-    last = lambda i: F.get(toks, i + SIDE - 1)
-    return F.transform(toks, lambda t, i: F.when(last(i).isNotNull(), F.xxhash64(t, *[F.get(toks, i + k) for k in range(1, SIDE)])))
-
-
-def _seeded(df: DataFrame, lengths: list[int]) -> tuple[DataFrame, list[tuple[int, list[int]]]]:
-    """Rows (all columns of ``df``, which has ``toks``), one per position and
-    mask: ``at`` (position), ``mask`` and ``key``; and the masks."""
-    df = df.withColumn("sides", _sides(F.col("toks")))
-    masks = _keys(F.col("toks"), F.col("sides"), GAPS, lengths)
-    keep = [c for c in df.columns if c != "sides"]
-    df = df.select(*keep, F.size("toks").alias("n"), F.concat(*[k for _, _, k in masks]).alias("keys"))
-    # Outer: Spark copies what feeds a plain explode into a filter below it, and would compute it twice.
-    df = df.select(*keep, "n", F.posexplode_outer("keys").alias("p", "key")).where(F.col("key").isNotNull())
-    df = df.select(*keep, (F.col("p") % F.col("n")).alias("at"), F.floor(F.col("p") / F.col("n")).cast("int").alias("mask"), "key")
-    return df, [(span, at) for span, at, _ in masks]
+def _keyed(positions: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """One row per position and mask: ``mask`` and ``key``, the hash of the
+    tokens under the mask."""
+    # A lambda keeps this out of the compiled stage before it, which would grow too large to be compiled well.
+    rest = F.array(*[F.array(*[F.lit(o) for o in at[SIDE:]]).cast("array<int>") for at in masks])
+    key = lambda at, m: F.aggregate(at, F.xxhash64(m, F.col("side")), lambda a, o: F.xxhash64(a, F.get("toks", F.col("at") + o)))
+    each = F.explode_outer(F.transform(rest, lambda at, m: F.struct(m.alias("mask"), key(at, m).alias("key"))))
+    return positions.select("*", each.alias("k")).select("*", "k.mask", "k.key").drop("k")
 
 
 def _extend(doc: Column, item: Column, i: Column, j: Column, step: int) -> Column:
-    """Best stretch beyond (i, j) in one direction: its length and equal tokens."""
+    """Best stretch from (i, j) on in one direction: its length and equal
+    tokens. It ends where either sequence does (a place outside is null)."""
     one = F.lit(1)
 
     def merge(a: Column, k: Column) -> Column:
@@ -113,50 +96,47 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     known = materialize(items(benchmark), "items")
     longest = offsets(max(GAPS))[-1] + 1
     lengths = sorted(r[0] for r in known.select(F.size("item").alias("n")).where(F.col("n") < longest).distinct().collect())  # at most ``longest`` numbers
-    test, masks = _seeded(known.select("item_id", F.col("item").alias("toks")), lengths)
-    # A short item is found by its own length only, any other by the spaced masks.
-    size, fits = F.size("toks"), F.col("mask") < len(GAPS)
-    own = reduce(lambda a, b: a | b, [(F.col("mask") == len(GAPS) + k) & (size == n) for k, n in enumerate(lengths)], F.lit(False))
-    test = materialize(test.where((fits & (size >= longest)) | own).select("key", "mask", "item_id", F.col("at").alias("j")), "seeds")
+    masks = [*map(offsets, GAPS), *[list(range(n)) for n in lengths]]
+    # A short item is found by its own length only, any other by the spaced masks, where they fit.
+    size, spans = F.size("toks"), F.array(*[F.lit(at[-1] + 1) for at in masks])
+    span = F.get(spans, F.col("mask"))
+    fits = F.when(F.col("mask") < len(GAPS), (size >= longest) & (F.col("at") + span <= size)).otherwise(size == span)
+    test = _keyed(_positions(known.select("item_id", F.col("item").alias("toks"))), masks).where(fits)
+    test = materialize(test.select("key", "side", "item_id", F.col("at").alias("j")), "seeds")
     blocks = max(1, -(-test.count() // BLOCK))
     t = F.col(f"`{text}`")
-    train = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("x"), tokens(t).alias("toks"))
-    train, _ = _seeded(train, lengths)
+    train = _positions(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("x"), tokens(t).alias("toks")))
     in_block = lambda df, b: df.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
     all_found = reduce(DataFrame.union, [_verified(train, in_block(test, b), in_block(known, b), masks) for b in range(blocks)])
     best = F.max_by(F.struct("doc_start", "n_tokens", "n_equal"), F.struct("n_equal", -F.col("doc_start")))
     return all_found.groupBy("doc_id", "x", "item_id").agg(best.alias("b")).select("doc_id", "x", "item_id", "b.*")
 
 
-def _verified(train: DataFrame, test: DataFrame, known: DataFrame, masks: list[tuple[int, list[int]]]) -> DataFrame:
-    hits = train.join(F.broadcast(test.drop("mask")), "key").withColumnRenamed("at", "i")
+def _verified(train: DataFrame, test: DataFrame, known: DataFrame, masks: list[list[int]]) -> DataFrame:
+    # First the half of a mask: a position whose first tokens begin no seed has no hit.
+    begins = test.select("side").distinct()
+    begun = train.join(F.broadcast(begins), "side", "left_semi")
+    hits = _keyed(begun, masks).join(F.broadcast(test.select("key", "item_id", "j")), "key").withColumnRenamed("at", "i")
     hits = hits.join(F.broadcast(known.select(F.col("item_id").alias("_item"), "item")), F.col("item_id").eqNullSafe(F.col("_item")))
     doc, item, i, j = F.col("toks"), F.col("item"), F.col("i"), F.col("j")
     # Of the hits of one mask along an overlap only the first is compared.
     follows = F.lit(False)
     span = F.lit(0)
-    for m, (n, at) in enumerate(masks):
+    for m, at in enumerate(masks):
         same = reduce(lambda a, b: a & b, [F.get(doc, F.greatest(i - 1 + o, F.lit(0))) == F.get(item, F.greatest(j - 1 + o, F.lit(0))) for o in at])
         follows = F.when(F.col("mask") == m, (i > 0) & (j > 0) & F.coalesce(same, F.lit(False))).otherwise(follows)
-        span = F.when(F.col("mask") == m, n).otherwise(span)
+        span = F.when(F.col("mask") == m, at[-1] + 1).otherwise(span)
     hits = hits.where(~follows).withColumn("span", span)
     inner = F.aggregate(F.sequence(F.lit(0), F.col("span") - 1), F.lit(0), lambda a, k: a + F.when(F.get(doc, i + k) == F.get(item, j + k), 1).otherwise(0))
     hits = hits.select("doc_id", "x", "item_id", "i", "span", F.size("item").alias("size"), inner.alias("inner"),
-                       F.when((i > 0) & (j > 0), _back(doc, item, i, j)).alias("l"), _extend(doc, item, i + F.col("span"), j + F.col("span"), 1).alias("r"))
-    left, good = F.coalesce("l.len", F.lit(0)), F.coalesce("l.good", F.lit(0))
+                       _extend(doc, item, i - 1, j - 1, -1).alias("l"), _extend(doc, item, i + F.col("span"), j + F.col("span"), 1).alias("r"))
+    left, good = F.col("l.len"), F.col("l.good")
     told = hits.select("doc_id", "x", "item_id", "size", (F.col("i") - left).alias("doc_start"),
                        (F.col("span") + left + F.col("r.len")).alias("n_tokens"), (F.col("inner") + good + F.col("r.good")).alias("n_equal"))
     enough = (F.col("n_tokens") >= F.least(F.lit(MIN_TOKENS), F.col("size"))) & (F.col("n_equal") >= SHARE * F.col("n_tokens"))
     return told.where(enough).drop("size")
 
 
-def _back(doc: Column, item: Column, i: Column, j: Column) -> Column:
-    """The best stretch before (i, j), read backwards; out of range counts as the end."""
-    room = F.least(i, j, F.lit(REACH))
-    turn = lambda a, at: F.reverse(F.slice(a, F.greatest(at - room, F.lit(0)) + 1, room))
-    return _extend(turn(doc, i), turn(item, j), F.lit(0), F.lit(0), 1)
-
-
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that overlap; documents
     without an overlap have no row."""
