@@ -36,7 +36,7 @@ VAL_FRACTION_OF_REST = Fraction(15, 85)
 def stratum_counts(df: DataFrame, stratum: str) -> list[tuple]:
     """Sorted (stratum value, count), nulls first; one row per label class."""
     rows = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted(((r[0], int(r[1])) for r in rows), key=lambda kv: (kv[0] is not None, kv[0] or 0))
+    return sorted(((r[0], int(r[1])) for r in rows), key=lambda kv: (kv[0] is not None, 0 if kv[0] is None else kv[0]))
 
 
 def stratify_feasible(counts: list[tuple], min_count: int) -> bool:
@@ -53,7 +53,7 @@ def allocate(counts: list[tuple], n_draw: int) -> dict:
     exact = {k: Fraction(n * n_draw, total) for k, n in counts}
     out = {k: math.floor(v) for k, v in exact.items()}
     left = n_draw - sum(out.values())
-    order = sorted(counts, key=lambda kv: (-(exact[kv[0]] - out[kv[0]]), kv[0] is not None, kv[0] or 0))
+    order = sorted(counts, key=lambda kv: (-(exact[kv[0]] - out[kv[0]]), kv[0] is not None, 0 if kv[0] is None else kv[0]))
     for k, _ in order[:left]:
         out[k] += 1
     return out
@@ -65,16 +65,21 @@ def _sizes_frame(spark, sizes: dict, stratum_type, col: str) -> DataFrame:
     return spark.createDataFrame([(k, int(v)) for k, v in sizes.items()], schema)
 
 
+def _stratum(col: str | None):
+    """The stratum as text, a null as the empty one, so that no join loses it."""
+    return F.coalesce(F.col(col).cast("string"), F.lit("")) if col else F.lit("")
+
+
 def holdout_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int) -> DataFrame:
     """70/15/15 holdout of the rows of ``df`` (unique ``id_col``):
     adds ``split`` in {train, val, test}."""
     spark = df.sparkSession
-    work = df.withColumn("_s", F.col(stratum) if stratum else F.lit(0))
+    work = df.withColumn("_s", _stratum(stratum))
     counts = stratum_counts(work, "_s")
     n = sum(c for _, c in counts)
     if not stratify_feasible(counts, 2):
-        work = work.withColumn("_s", F.lit(0))
-        counts = [(0, n)]
+        work = work.withColumn("_s", _stratum(None))
+        counts = [("", n)]
     stype = work.schema["_s"].dataType
     n_test = math.ceil(n * TEST_FRACTION)
     test_sz = allocate(counts, n_test)
@@ -85,8 +90,8 @@ def holdout_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int) -
     rest_counts = [(k, c - test_sz.get(k, 0)) for k, c in counts]
     rest = ranked.where(~F.col("_is_test"))
     if len(counts) > 1 and not stratify_feasible([kv for kv in rest_counts if kv[1] > 0], 2):
-        rest = rest.withColumn("_s", F.lit(0).cast(stype))
-        rest_counts = [(0, sum(c for _, c in rest_counts))]
+        rest = rest.withColumn("_s", _stratum(None))
+        rest_counts = [("", sum(c for _, c in rest_counts))]
     n_val = math.ceil((n - n_test) * VAL_FRACTION_OF_REST)
     val_sz = allocate(rest_counts, n_val)
     rest = rank_within(rest, "_s", digest(seed + 1, id_col), id_col, "_r2", n_strata=len(rest_counts))
@@ -102,11 +107,11 @@ def holdout_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int) -
 def kfold_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int, k: int = 5) -> DataFrame:
     """Adds ``fold_id`` in [0, k): the test fold of each row."""
     spark = df.sparkSession
-    work = df.withColumn("_s", F.col(stratum) if stratum else F.lit(0))
+    work = df.withColumn("_s", _stratum(stratum))
     counts = stratum_counts(work, "_s")
     if not stratify_feasible(counts, k):
-        work = work.withColumn("_s", F.lit(0))
-        counts = [(0, sum(c for _, c in counts))]
+        work = work.withColumn("_s", _stratum(None))
+        counts = [("", sum(c for _, c in counts))]
     starts, acc = {}, 0
     for key, c in counts:
         starts[key] = acc
