@@ -31,7 +31,8 @@ def test_base_rules(spark):
 
 def test_distance(spark):
     df = spark.createDataFrame([([1, 2, 0], [2, 4, 0]), ([1, 0, 0], [0, 0, 5]), ([3, 1, 0], [1, 1, 2]), ([0, 0, 0], [1, 1, 1])], "a array<long>, b array<long>")
-    got = [r[0] for r in df.select(quality.distance(F.col("a"), F.col("b"))).collect()]
+    share = lambda c: quality.shares(F.col(c), F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x))
+    got = [r[0] for r in df.select(quality.distance(share("a"), share("b"))).collect()]
 
     def js(a, b):
         p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
