@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from assaykit.llm import bpe, decontam, html_extract, line_dedup, pii, quality, secret_scan, sharding, simhash, tokenizers, toxicity
+from assaykit.llm import bpe, decontam, html_extract, line_dedup, line_dedup_sql, pii, quality, quality_sql, secret_scan, sharding, simhash, tokenizers, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup_sql.sql(), "op6_quality_rules": quality_sql.sql()}
