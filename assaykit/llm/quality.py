@@ -111,6 +111,7 @@ def measures(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         c("_symbols").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(c("_twice"), repeated_words(c("_h"), c("_win"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+        F.length(t).cast("long").alias("n_chars"),
         F.array(lower, upper, c("_digits"), c("_spaces"), c("_symbols"), other, c("_wide")).alias("chars"),
         common_counts(c("_named"), F.col(f"`{lang}`")).alias("common"),
     )).drop("_t", "_w", "_h", "_win", "_lines", "_twice", "_rest", "_caseless", "_spaces", "_symbols", "_digits", "_wide", "_named")
@@ -126,14 +127,17 @@ def with_rest(common: Column, n_words: Column) -> Column:
     return F.when(F.size(common) > 0, F.concat(common, F.array(n_words - named))).otherwise(common)
 
 
-def distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of equal length: 0 if alike,
-    1 if nothing is shared; null if one of them is empty."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
-    share = F.zip_with(counts, reference, lambda x, y: F.struct(F.try_divide(x.cast("double"), total(counts)).alias("p"), F.try_divide(y.cast("double"), total(reference)).alias("q")))
-    terms = F.transform(share, lambda s: (part(s["p"], (s["p"] + s["q"]) / 2) + part(s["q"], (s["p"] + s["q"]) / 2)) / 2)
-    return F.when((F.size(counts) > 0) & (total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms))))
+def shares(counts: Column, total: Column) -> Column:
+    return F.transform(counts, lambda x: F.try_divide(x.cast("double"), total.cast("double")))
+
+
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two histograms of equal length, given as
+    shares: 0 if alike, 1 if nothing is in common; null if one is empty."""
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    terms = F.zip_with(p, q, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
+    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.get(p, F.lit(0)).isNotNull() & F.get(q, F.lit(0)).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total)))
 
 
 def references(measured: DataFrame) -> DataFrame:
@@ -147,9 +151,11 @@ def references(measured: DataFrame) -> DataFrame:
         F.sum(f["n_words"]).alias("ref_words"), F.max(F.size("w")).alias("k"),
         *[F.sum(F.get(f["chars"], F.lit(i))).alias(f"c{i}") for i in range(7)],
         *[F.sum(F.get(F.col("w"), F.lit(i))).alias(f"w{i}") for i in range(longest)])
+    chars = F.array(*[f"c{i}" for i in range(7)])
+    common = F.slice(F.array(*[f"w{i}" for i in range(longest)]), 1, F.col("k"))
     return sums.select(
-        "lang", "ref_words", F.array(*[f"c{i}" for i in range(7)]).alias("ref_chars"),
-        F.slice(F.array(*[f"w{i}" for i in range(longest)]), 1, F.col("k")).alias("ref_common"))
+        "lang", "ref_words", shares(chars, sum(F.col(f"c{i}") for i in range(7))).alias("ref_chars"),
+        shares(common, F.col("ref_words")).alias("ref_common"))
 
 
 def compare(measured: DataFrame, good: DataFrame) -> DataFrame:
@@ -159,8 +165,8 @@ def compare(measured: DataFrame, good: DataFrame) -> DataFrame:
     both = measured.join(known, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     judged = (f["n_words"] >= MIN_WORDS) & (F.coalesce("ref_words", F.lit(0)) >= MIN_REFERENCE)
     return both.withColumns({
-        "char_distance": F.when(judged, distance(f["chars"], F.col("ref_chars"))),
-        "word_distance": F.when(judged, distance(with_rest(f["common"], f["n_words"]), F.col("ref_common"))),
+        "char_distance": F.when(judged, distance(shares(f["chars"], f["n_chars"]), F.col("ref_chars"))),
+        "word_distance": F.when(judged, distance(shares(with_rest(f["common"], f["n_words"]), f["n_words"]), F.col("ref_common"))),
     }).drop("ref_words", "ref_chars", "ref_common")
 
 
@@ -181,11 +187,11 @@ def judge(measured: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept and
-    the two distances (null where a guard holds)."""
+    the two distances (to 6 places; null where a guard holds)."""
     # The measures are written once (a few numbers a document); references and verdicts both read them.
     small = materialize(measures(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", F.col("_f").alias("f")), "quality")
     return judge(small).select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words",
-                               "base_failed", "kept", "char_distance", "word_distance")
+                               "base_failed", "kept", *[(F.round(d, 6) + F.lit(0.0)).alias(d) for d in ("char_distance", "word_distance")])
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
