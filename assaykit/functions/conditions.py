@@ -40,11 +40,6 @@ def _any(low: Column, words: list[str]) -> Column:
     return out
 
 
-def has_condition_hint(name) -> Column:
-    """True when the lower-cased name contains a condition hint."""
-    return _any(F.lower(_c(name)), CONDITION_HINTS)
-
-
 def condition_class_columns(name) -> list[Column]:
     """solvent_class and six 0/1 flags for a condition name.
 

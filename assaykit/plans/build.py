@@ -1,11 +1,9 @@
 """The dataset build job: raw wide table -> clean wide -> long table ->
 features -> QC tables -> summary.
 
-Everything is lazy except two small actions: the condition-detection
-aggregate (one row) and, for the summary, a handful of one-row
-aggregates. ``persist_long`` writes the long table once to the shared
-checkpoint folder so the eight QC tables read it instead of re-running
-the ingest (and so lineage is cut for executor loss).
+The clean wide table is written once to the shared folder (lineage is cut
+there, for executor loss) and the condition-detection aggregate runs on it
+(one row); everything after that is lazy.
 """
 from __future__ import annotations
 
@@ -49,13 +47,6 @@ class DatasetBuild:
     def features(self) -> DataFrame:
         return qc.peptide_features(self.clean)
 
-    def persist_long(self) -> DataFrame:
-        """Write the long table once (shared folder) and read it back."""
-        if not self.__dict__.get("_long_written"):
-            self.__dict__["long"] = materialize(self.long, "long")
-            self.__dict__["_long_written"] = True
-        return self.long
-
     # QC tables -------------------------------------------------------------
     def features_for_model(self) -> DataFrame:
         return qc.join_long_features(self.long, self.features)

@@ -41,13 +41,6 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def register(key: str, sql: str | None = None, doubles: list[str] | None = None):
-    def deco(fn):
-        REGISTRY[key] = Entry(key, fn, sql, list(doubles or []))
-        return fn
-    return deco
-
-
 def add(key: str, fn, sql: str | None = None, doubles: list[str] | None = None):
     REGISTRY[key] = Entry(key, fn, sql, list(doubles or []))
 
