@@ -268,9 +268,6 @@ add("audit_required_files", _required_files)
 # ---------------------------------------------------------------------------
 # 2.9 models (train on the pair-stratified train split, score its test split)
 # ---------------------------------------------------------------------------
-# Logistic models run to convergence; trees are smaller than the published sizes,
-# which are the defaults of ModelParams (README, open items).
-SMALL = ML.ModelParams(forest_trees=20, forest_max_depth=8, boosting_iters=10)
 
 
 def model_data(spark, sf):
@@ -346,7 +343,7 @@ add("ml_feature_modes", lambda s, sf: _pipeline_out("both", True)(s, sf))
 def _model(name):
     def q(spark, sf):
         tr, te = _train_test(spark, sf)
-        return ML.fit_predict(name, tr, te, SMALL).select("record_id", "y", "y_pred", "p")
+        return ML.fit_predict(name, tr, te, ML.ModelParams()).select("record_id", "y", "y_pred", "p")
     return q
 
 
@@ -368,7 +365,7 @@ def _grid(spark, sf):
         "record_id", F.lit("solvent-held-out").alias("protocol"), "fold", "split")
     assign = hold.unionByName(grp).unionByName(loco)
     model_tbl = materialize(model_data(spark, sf).drop("split"), "model_data")
-    return ML.grid_results(model_tbl, assign, *ML.evaluate_grid(model_tbl, assign, SMALL))
+    return ML.grid_results(model_tbl, assign, *ML.evaluate_grid(model_tbl, assign, ML.ModelParams()))
 
 
 add("evaluate_grid", _grid)
