@@ -3,9 +3,10 @@
 Tokens are runs of letters and digits, lower-cased. A mask is three tokens,
 ``gap`` ignored ones and three more; for every position of a benchmark item
 and of a document the six tokens under the mask are hashed, and equal hashes
-join. Around each hit the two token sequences are compared in step, both ways,
-as far as the score (+1 equal, -2 substituted) is best; an overlap counts if
-it has ``MIN_TOKENS`` tokens (the whole item, if shorter) with 4 of 5 equal.
+join. Around each hit the two token sequences are compared in step. An overlap
+is a stretch of ``MIN_TOKENS`` tokens or more (the whole item, if shorter) with
+4 of 5 equal: the one of best score (+1 equal, -2 substituted) if that has
+both, otherwise the longest that has.
 
 An item shorter than the longest mask has a mask of its own length with no
 ignored position. Items under ``MIN_ITEM`` tokens are no evidence and are not
@@ -26,11 +27,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import whole
+from assaykit.llm.common import running, whole
 from assaykit.session import materialize
 
 SIDE, GAPS = 3, (1, 2, 4)
-MIN_TOKENS, MIN_ITEM, SHARE = 12, 5, 0.8
+MIN_TOKENS, MIN_ITEM = 12, 5
+EQUAL, OF = 4, 5
 REACH, BLOCK = 48, 1_000_000
 
 
@@ -62,26 +64,42 @@ def _keyed(positions: DataFrame, masks: list[list[int]]) -> DataFrame:
     return positions.select("*", each.alias("k")).select("*", "k.mask", "k.key").drop("k")
 
 
-def _extend(doc: Column, item: Column, i: Column, j: Column, step: int) -> Column:
-    """Best stretch from (i, j) on in one direction: its length and equal
-    tokens. It ends where either sequence does (a place outside is null)."""
-    one = F.lit(1)
+def _best(same: Column) -> Column:
+    """The stretch of best score (+1 equal, -2 substituted) of ``same``, which
+    says place by place whether the tokens are equal: at, len, good (equal)."""
+    def better(a: Column, x: Column) -> Column:
+        score, k = a["score"] + F.when(x, 1).otherwise(-2), a["k"] + 1
+        more, low = score - a["low"] > a["best"], score <= a["low"]
+        return _ints(k=k, score=score, low=F.when(low, score).otherwise(a["low"]), low_at=F.when(low, k).otherwise(a["low_at"]),
+                     best=F.when(more, score - a["low"]).otherwise(a["best"]), at=F.when(more, a["low_at"]).otherwise(a["at"]), to=F.when(more, k).otherwise(a["to"]))
 
-    def merge(a: Column, k: Column) -> Column:
-        x, y = F.get(doc, i + k * step), F.get(item, j + k * step)
-        same = F.when(x == y, 1).otherwise(0)
-        score, equal = a["score"] + F.when(x == y, 1).otherwise(-2), a["equal"] + same
-        better = score > a["best"]
-        return F.when(x.isNull() | y.isNull() | a["over"], _state(a["score"], a["equal"], a["best"], a["len"], a["good"], F.lit(True))).otherwise(
-            _state(score, equal, F.greatest(score, a["best"]), F.when(better, k + one).otherwise(a["len"]), F.when(better, equal).otherwise(a["good"]), F.lit(False)))
+    zero = F.lit(0)
+    # Of n tokens with e equal the score is 3e - 2n.
+    return F.aggregate(same, _ints(**dict.fromkeys(("k", "score", "low", "low_at", "best", "at", "to"), zero)), better,
+                       lambda a: _ints(at=a["at"], len=a["to"] - a["at"], good=(a["best"] + 2 * (a["to"] - a["at"])) / 3))
+
+
+def _longest(same: Column) -> Column:
+    """The longest stretch of ``same`` that has the share: at, len, good."""
+    # It has it if EQUAL of OF, so if the sum of OF - EQUAL for each equal token and -EQUAL for each other is 0 or more.
+    sums = running(F.concat(same, F.array(F.lit(False))), "int", lambda pos, x: pos, lambda x: F.when(x, OF - EQUAL).otherwise(-EQUAL))
+    # From the least sum on, the first place so far is where the longest stretch to this place begins.
+    order = F.array_sort(F.transform(sums, lambda p, k: F.struct(p.alias("p"), k.alias("k"))))
+
+    def longer(a: Column, x: Column) -> Column:
+        first = x["k"] < a["first"]
+        n = x["k"] - a["first"]
+        more = n > a["len"]
+        return _ints(first=F.when(first, x["k"]).otherwise(a["first"]), p=F.when(first, x["p"]).otherwise(a["p"]),
+                     at=F.when(more, a["first"]).otherwise(a["at"]), len=F.when(more, n).otherwise(a["len"]), sum=F.when(more, x["p"] - a["p"]).otherwise(a["sum"]))
 
     zero = F.lit(0)
-    return F.aggregate(F.sequence(zero, F.lit(REACH - 1)), _state(zero, zero, zero, zero, zero, F.lit(False)), merge,
-                       lambda a: F.struct(a["len"].alias("len"), a["good"].alias("good")))
+    return F.aggregate(order, _ints(first=F.size(same) + 1, p=zero, at=zero, len=zero, sum=zero), longer,
+                       lambda a: _ints(at=a["at"], len=a["len"], good=(a["sum"] + EQUAL * a["len"]) / OF))
 
 
-def _state(score: Column, equal: Column, best: Column, length: Column, good: Column, over: Column) -> Column:
-    return F.struct(*[c.cast("int").alias(n) for c, n in ((score, "score"), (equal, "equal"), (best, "best"), (length, "len"), (good, "good"))], over.alias("over"))
+def _ints(**fields: Column) -> Column:
+    return F.struct(*[c.cast("int").alias(n) for n, c in fields.items()])
 
 
 def items(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -127,14 +145,15 @@ def _verified(train: DataFrame, test: DataFrame, known: DataFrame, masks: list[l
         follows = F.when(F.col("mask") == m, (i > 0) & (j > 0) & F.coalesce(same, F.lit(False))).otherwise(follows)
         span = F.when(F.col("mask") == m, at[-1] + 1).otherwise(span)
     hits = hits.where(~follows).withColumn("span", span)
-    inner = F.aggregate(F.sequence(F.lit(0), F.col("span") - 1), F.lit(0), lambda a, k: a + F.when(F.get(doc, i + k) == F.get(item, j + k), 1).otherwise(0))
-    hits = hits.select("doc_id", "x", "item_id", "i", "span", F.size("item").alias("size"), inner.alias("inner"),
-                       _extend(doc, item, i - 1, j - 1, -1).alias("l"), _extend(doc, item, i + F.col("span"), j + F.col("span"), 1).alias("r"))
-    left, good = F.col("l.len"), F.col("l.good")
-    told = hits.select("doc_id", "x", "item_id", "size", (F.col("i") - left).alias("doc_start"),
-                       (F.col("span") + left + F.col("r.len")).alias("n_tokens"), (F.col("inner") + good + F.col("r.good")).alias("n_equal"))
-    enough = (F.col("n_tokens") >= F.least(F.lit(MIN_TOKENS), F.col("size"))) & (F.col("n_equal") >= SHARE * F.col("n_tokens"))
-    return told.where(enough).drop("size")
+    # The places of both in step, as far as REACH before and behind the mask.
+    back = F.least(i, j, F.lit(REACH))
+    length = F.least(F.size(doc) - i, F.size(item) - j, F.col("span") + REACH) + back
+    same = F.zip_with(F.slice(doc, i - back + 1, length), F.slice(item, j - back + 1, length), lambda x, y: x == y)
+    hits = hits.select("doc_id", "x", "item_id", (i - back).alias("start"), F.least(F.lit(MIN_TOKENS), F.size("item")).alias("least"), same.alias("same"))
+    enough = lambda s: (s["len"] >= F.col("least")) & (OF * s["good"] >= EQUAL * s["len"])
+    hits = hits.withColumn("best", _best(F.col("same")))
+    hits = hits.withColumn("told", F.when(enough(F.col("best")), F.col("best")).otherwise(_longest(F.col("same")))).where(enough(F.col("told")))
+    return hits.select("doc_id", "x", "item_id", (F.col("start") + F.col("told.at")).alias("doc_start"), F.col("told.len").alias("n_tokens"), F.col("told.good").alias("n_equal"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -57,3 +57,37 @@ def test_odd_rows(spark):
     left = decontam.clean(df, bench)
     assert left.columns == df.columns and left.count() == df.count() - 2
     assert decontam.report(df.limit(0), bench).count() == 0 and decontam.report(df, bench.limit(0)).count() == 0
+
+
+def good_stretch(doc, item, shift):
+    """Whether 12 tokens in step, 10 or more of them equal, lie on a diagonal."""
+    same = [0 <= j + shift < len(doc) and doc[j + shift] == x for j, x in enumerate(item)]
+    return any(sum(same[j:j + 12]) >= 10 and 0 <= j + shift and j + 12 + shift <= len(doc) for j in range(len(item) - 11))
+
+
+def seeded(doc, item, shift):
+    at = [j for j, x in enumerate(item) if 0 <= j + shift < len(doc) and doc[j + shift] == x]
+    return any({j + o for o in decontam.offsets(g)} <= set(at) for g in decontam.GAPS for j in at)
+
+
+def test_substitutions_against_all_stretches(spark):
+    rng, items, docs, want, some = random.Random(5), [], [], set(), 0
+    for k in range(240):
+        n, rate = (20, 40, 60)[k % 3], (0.15, 0.2, 0.25, 0.3)[k % 4]
+        item = [f"i{k}w{m}" for m in range(n)]
+        doc = [f"d{k}w{m}" for m in range(9)] + [f"s{k}w{m}" if rng.random() < rate else x for m, x in enumerate(item)] + [f"e{k}w{m}" for m in range(9)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(doc)))
+        some += good_stretch(doc, item, 9)
+        if good_stretch(doc, item, 9) and seeded(doc, item, 9):
+            want.add((k, k))
+    found = decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.n_tokens >= 12 and 5 * r.n_equal >= 4 * r.n_tokens for r in found)
+    texts, known = dict(docs), dict(items)
+    for r in found:
+        assert sum(x == y for x, y in zip(texts[r.doc_id].split()[r.doc_start:][:r.n_tokens], known[r.item_id].split()[r.doc_start - 9:])) == r.n_equal
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert want <= got and len(want) > 0.95 * some
+    # The longer stretches of 4 of 5 hold 12 tokens with 4 of 5 equal, or 13 to 23.
+    assert all(any(5 * sum(s[a:a + n]) >= 4 * n for n in range(12, 24) for a in range(len(s) - n + 1))
+               for k, _ in got for s in [[x == y for x, y in zip(texts[k].split()[9:], known[k].split())]])
