@@ -3,7 +3,8 @@
 Tokens are runs of letters and digits, lower-cased. A mask is three tokens,
 ``gap`` ignored ones and three more; for every position of a benchmark item
 and of a document the six tokens under the mask are hashed, and equal hashes
-join. Around each hit the two token sequences are compared in step. An overlap
+join. From each hit the two token sequences are compared in step, to the first
+and last token of the shorter side, whatever its length. An overlap
 is a stretch of ``MIN_TOKENS`` tokens or more (the whole item, if shorter) with
 4 of 5 equal: the one of best score (+1 equal, -2 substituted) if that has
 both, otherwise the longest that has.
@@ -33,7 +34,7 @@ from assaykit.session import materialize
 SIDE, GAPS = 3, (1, 2, 4)
 MIN_TOKENS, MIN_ITEM = 12, 5
 EQUAL, OF = 4, 5
-REACH, BLOCK = 48, 1_000_000
+BLOCK = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -139,15 +140,13 @@ def _verified(train: DataFrame, test: DataFrame, known: DataFrame, masks: list[l
     doc, item, i, j = F.col("toks"), F.col("item"), F.col("i"), F.col("j")
     # Of the hits of one mask along an overlap only the first is compared.
     follows = F.lit(False)
-    span = F.lit(0)
     for m, at in enumerate(masks):
         same = reduce(lambda a, b: a & b, [F.get(doc, F.greatest(i - 1 + o, F.lit(0))) == F.get(item, F.greatest(j - 1 + o, F.lit(0))) for o in at])
         follows = F.when(F.col("mask") == m, (i > 0) & (j > 0) & F.coalesce(same, F.lit(False))).otherwise(follows)
-        span = F.when(F.col("mask") == m, at[-1] + 1).otherwise(span)
-    hits = hits.where(~follows).withColumn("span", span)
-    # The places of both in step, as far as REACH before and behind the mask.
-    back = F.least(i, j, F.lit(REACH))
-    length = F.least(F.size(doc) - i, F.size(item) - j, F.col("span") + REACH) + back
+    hits = hits.where(~follows)
+    # All places of both in step, from the first token of either to the end of either.
+    back = F.least(i, j)
+    length = F.least(F.size(doc) - i, F.size(item) - j) + back
     same = F.zip_with(F.slice(doc, i - back + 1, length), F.slice(item, j - back + 1, length), lambda x, y: x == y)
     hits = hits.select("doc_id", "x", "item_id", (i - back).alias("start"), F.least(F.lit(MIN_TOKENS), F.size("item")).alias("least"), same.alias("same"))
     enough = lambda s: (s["len"] >= F.col("least")) & (OF * s["good"] >= EQUAL * s["len"])

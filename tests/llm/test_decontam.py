@@ -91,3 +91,12 @@ def test_substitutions_against_all_stretches(spark):
     # The longer stretches of 4 of 5 hold 12 tokens with 4 of 5 equal, or 13 to 23.
     assert all(any(5 * sum(s[a:a + n]) >= 4 * n for n in range(12, 24) for a in range(len(s) - n + 1))
                for k, _ in got for s in [[x == y for x, y in zip(texts[k].split()[9:], known[k].split())]])
+
+
+def test_long_items_are_compared_whole(spark):
+    item = [f"w{k}" for k in range(300)]
+    spoilt = [f"s{k}" if k % 9 == 4 else w for k, w in enumerate(item)]
+    docs = [(1, ["own", *item, "own"]), (2, spoilt), (3, item[100:200] + ["own"])]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string")
+    found = decontam.report(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in found] == [(1, 7, 1, 300, 300), (2, 7, 0, 300, 267), (3, 7, 0, 100, 100)]
