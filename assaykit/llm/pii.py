@@ -95,8 +95,22 @@ def _score(kind: str, s: Column) -> Column:
     return F.least(F.lit(100), F.greatest(F.lit(0), raw))
 
 
+def _cut(s: Column) -> Column:
+    """The span of an account number up to the last space, or its end, to which
+    its checksum holds, as upper-case words behind it match the pattern too;
+    a null value if it holds nowhere."""
+    parts = F.split(s["value"], " ")
+    heads = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), " "))
+    return F.transform(F.array(F.get(F.filter(heads, lambda v: _valid("iban", v)), F.lit(0))), lambda v: F.struct(
+        s["start"], (s["start"] + F.length(v)).alias("end"), v.alias("value"), s["before"],
+        F.left(F.concat(F.substring(s["value"], F.length(v) + 1, F.length(s["value"])), s["after"]), F.lit(CONTEXT)).alias("after")))[0]
+
+
 def _kept(k: int, kind: str, found: Column) -> Column:
-    good = F.filter(found, lambda s: _valid(kind, s["value"]))
+    if kind == "iban":
+        good = F.filter(F.transform(found, _cut), lambda s: s["value"].isNotNull())
+    else:
+        good = F.filter(found, lambda s: _valid(kind, s["value"]))
     scored = F.transform(good, lambda s: F.struct(
         s["start"], F.lit(k).alias("order"), s["end"], F.lit(kind).alias("kind"), s["value"], _score(kind, s).alias("score")))
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
