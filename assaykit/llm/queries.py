@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from assaykit.llm import bpe, decontam, html_extract, line_dedup, line_dedup_sql, pii, quality, quality_sql, secret_scan, sharding, simhash, tokenizers, toxicity
+from assaykit.llm import bpe, decontam, filter_audit, filter_audit_sql, html_extract, line_dedup, line_dedup_sql, pii, quality, quality_sql, secret_scan, sharding, simhash, tokenizers, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": lambda s, d: html_extract.report(s.read.parquet(f"{d}/pages.parquet")),
         "op9_pii": lambda s, d: pii.report(_docs(s, d)),
         "op10_toxicity": lambda s, d: toxicity.report(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
+        "op11_filter_audit": lambda s, d: filter_audit.report(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup_sql.sql(), "op6_quality_rules": quality_sql.sql()}
+    return {"op5_line_dedup": line_dedup_sql.sql(), "op6_quality_rules": quality_sql.sql(), "op11_filter_audit": filter_audit_sql.sql()}
