@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from assaykit.llm import bpe, conversation_trie, conversation_trie_sql, decontam, filter_audit, filter_audit_sql, html_extract, line_dedup, line_dedup_sql, pii, quality, quality_sql, secret_scan, sharding, simhash, tokenizers, toxicity
+from assaykit.llm import bpe, conversation_trie, conversation_trie_sql, decontam, filter_audit, filter_audit_sql, html_extract, line_dedup, line_dedup_sql, passage_quality, pii, quality, quality_sql, secret_scan, sharding, simhash, tokenizers, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": lambda s, d: toxicity.report(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op11_filter_audit": lambda s, d: filter_audit.report(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op12_prefix_trie": lambda s, d: conversation_trie.report(s.read.parquet(f"{d}/conversations.parquet")),
+        "op13_passage_quality": lambda s, d: passage_quality.report(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
     }
 
 
