@@ -9,20 +9,20 @@ score ``p``. Output: one row per group.
 * AUC (ties get half credit) and average precision (step sum over
   distinct thresholds) first collapse rows to distinct (group, score)
   pairs, then take running sums of positives/negatives over the score
-  order. The running sums are spread over 1024 score buckets per group:
-  per-(group, bucket) totals give each bucket its offset (a table of at
-  most groups x 1026 rows) and the window runs per (group, bucket), so a
-  group with a third of all rows is not one task.
+  order (:func:`assaykit.operators.rows.running_sums`): ranges of
+  (group, score) with sampled splitters, so neither a group with a third
+  of all rows nor scores crowded in one spot are one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import running_sums
+
 METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "mcc", "kappa",
            "roc_auc", "average_precision", "brier"]
 RANKING = ["roc_auc", "average_precision"]
-SCORE_BUCKETS = 1024
 
 
 def _d(c):
@@ -71,32 +71,14 @@ def threshold_metrics(cc: DataFrame) -> DataFrame:
         kappa.alias("kappa"))
 
 
-def _score_bucket(p):
-    x = F.col(p).cast("double")
-    return (F.when(x < 0.0, F.lit(-1)).when(x >= 1.0, F.lit(SCORE_BUCKETS))
-            .otherwise(F.floor(x * SCORE_BUCKETS)).cast("int"))
-
-
 def ranking_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     """roc_auc and average_precision per group; null for one-class groups."""
     per_score = scored.groupBy(*keys, F.col("p").cast("double").alias("s")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    per_score = per_score.withColumn("_b", _score_bucket("s"))
-    tot_b = per_score.groupBy(*keys, "_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    w_lo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_hi = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot_b.select(*keys, "_b",
-                        F.coalesce(F.sum("bn").over(w_lo), F.lit(0)).alias("neg_lower_b"),
-                        F.coalesce(F.sum("bp").over(w_hi), F.lit(0)).alias("pos_higher_b"),
-                        F.coalesce(F.sum("bn").over(w_hi), F.lit(0)).alias("neg_higher_b"))
-    j = per_score.join(offs, [*keys, "_b"])
-    up = Window.partitionBy(*keys, "_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys, "_b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    j = j.select(
-        *keys, "s", "pos", "neg",
-        (F.col("neg_lower_b") + F.coalesce(F.sum("neg").over(up), F.lit(0))).alias("neg_below"),
-        (F.col("pos_higher_b") + F.sum("pos").over(down)).alias("tp_at"),
-        (F.col("neg_higher_b") + F.sum("neg").over(down)).alias("fp_at"))
+    j = running_sums(per_score, keys, "s", ["pos", "neg"]).select(
+        *keys, "s", "pos", "neg", F.col("neg_below"),
+        (F.col("pos_total") - F.col("pos_below")).alias("tp_at"),
+        (F.col("neg_total") - F.col("neg_below")).alias("fp_at"))
     g = j.groupBy(*keys).agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
         F.sum(_d("pos") * (_d("neg_below") + _d("neg") / 2.0)).alias("_auc_num"),

@@ -7,22 +7,33 @@ a distributed Spark job on the training rows of one fold; predictions of
 all (protocol, fold, model) runs are unioned and scored in one grouped
 metric pass (:func:`assaykit.operators.metrics.metric_table`).
 
+A forest is fitted in parts of a few trees that run side by side: the jobs of
+a fit carry the trees grown so far, so one job for all 400 sends tens of MB to
+every task of every level, and leaves the cores idle between levels. Trees are
+independent and votes are averaged by tree, so the parts' probabilities,
+weighted by their trees, are those of one forest.
+
 Numeric parity with other libraries is not a goal (different solvers);
 the objective of the balanced logistic model is the same
 (``regParam = 1/n`` with weights ``n / (2 n_class)``).
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import math
+from concurrent.futures import Executor, ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import BASELINE_FEATURES
+from .ml_stages import ExactMedianImputer, PopulationScaler
 
 MODEL_NAMES = ["majority_class", "stratified_dummy", "sequence_logistic", "solvent_logistic",
                "sequence_solvent_logistic", "sequence_solvent_random_forest",
@@ -39,26 +50,34 @@ class ModelParams:
     boosting_iters: int = 100
     boosting_depth: int = 3
     boosting_step: float = 0.1
+    forest_part: int = 12               # trees of a forest fitted by one job
+
+
+#: Tree fits send the statistics of every open node from every partition; small inputs get few partitions.
+ROWS_A_PARTITION = 50_000
 
 
-def imputer_stage(cols: list[str]) -> Imputer:
+def imputer_stage(cols: list[str]) -> ExactMedianImputer:
     """Median imputation (a no-op when descriptors are never null)."""
-    return Imputer(strategy="median", inputCols=cols, outputCols=[f"{c}__imp" for c in cols])
+    return ExactMedianImputer(inputCols=cols, outputCols=[f"{c}__imp" for c in cols])
+
+
+def scaler_stage(cols: list[str]) -> PopulationScaler:
+    return PopulationScaler(inputCols=[f"{c}__imp" for c in cols], outputCols=[f"{c}__std" for c in cols])
 
 
 def feature_stages(mode: str, scaled: bool, cols: list[str] = BASELINE_FEATURES,
-                   condition_col: str = "solvent_norm") -> list:
-    """Stages producing the ``features`` vector for a mode."""
+                   condition_col: str = "solvent_norm", imputer=None, scaler=None) -> list:
+    """Stages producing the ``features`` vector for a mode. ``imputer`` and
+    ``scaler`` may be fitted stages that several modes share."""
     stages = []
     parts = []
     if mode in ("sequence", "both"):
-        stages.append(imputer_stage(cols))
-        stages.append(VectorAssembler(inputCols=[f"{c}__imp" for c in cols], outputCol="num_raw"))
+        stages.append(imputer or imputer_stage(cols))
         if scaled:
-            stages.append(StandardScaler(inputCol="num_raw", outputCol="num", withMean=True, withStd=True))
-            parts.append("num")
-        else:
-            parts.append("num_raw")
+            stages.append(scaler or scaler_stage(cols))
+        stages.append(VectorAssembler(inputCols=[f"{c}__{'std' if scaled else 'imp'}" for c in cols], outputCol="num"))
+        parts.append("num")
     if mode in ("condition", "both"):
         stages.append(StringIndexer(inputCol=condition_col, outputCol="cond_idx", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
@@ -82,8 +101,14 @@ def with_weights(train: DataFrame, label: str = "y") -> DataFrame:
     return train.join(F.broadcast(w.select(label, "weight")), label)  # one row per class
 
 
+def positive(probability: str) -> Column:
+    """The probability of label 1. Trained on label 0 alone, a model knows one
+    class only and its vector has no place 1: the probability is 0."""
+    return F.coalesce(F.get(vector_to_array(probability), F.lit(1)), F.lit(0.0))
+
+
 def _p1(df: DataFrame) -> DataFrame:
-    return df.withColumn("p", vector_to_array("probability")[1]) \
+    return df.withColumn("p", positive("probability")) \
              .withColumn("y_pred", F.col("prediction").cast("int"))
 
 
@@ -119,110 +144,194 @@ MODEL_MODES = {"sequence_logistic": ("sequence", True), "solvent_logistic": ("co
                "sequence_solvent_gradient_boosting": ("both", False)}
 
 
-def estimator(name: str, train_n: int, p: ModelParams):
-    if name.endswith("logistic"):
-        return _logistic(train_n, p)
-    if name.endswith("random_forest"):
-        return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight",
-                                      numTrees=p.forest_trees, maxDepth=p.forest_max_depth,
-                                      minInstancesPerNode=p.forest_min_leaf,
-                                      featureSubsetStrategy="sqrt", seed=p.seed)
-    return GBTClassifier(featuresCol="features", labelCol="y", maxIter=p.boosting_iters,
-                         maxDepth=p.boosting_depth, stepSize=p.boosting_step, seed=p.seed)
+def _forest(trees: int, seed: int, p: ModelParams) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees,
+                                  maxDepth=p.forest_max_depth, minInstancesPerNode=p.forest_min_leaf,
+                                  featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024)
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame, p: ModelParams,
-                id_col: str = "record_id") -> DataFrame:
-    """Fit one model on ``train`` and return ``test`` with y_pred and p."""
-    if name == "majority_class":
-        return predict_majority(train, test)
-    if name == "stratified_dummy":
-        return predict_stratified_dummy(train, test, p.seed, id_col)
-    stages = feature_stages(*MODEL_MODES[name])
-    model = Pipeline(stages=stages + [estimator(name, train.count(), p)]).fit(with_weights(train))
-    return _p1(model.transform(test))
+def forest_parts(p: ModelParams) -> list[tuple[int, int]]:
+    """(trees, seed) of the jobs that make up a forest."""
+    sizes = [min(p.forest_part, p.forest_trees - at) for at in range(0, p.forest_trees, p.forest_part)]
+    return [(n, p.seed + k) for k, n in enumerate(sizes)]
+
+
+class Forest:
+    """Fitted parts; the score is the mean vote of all their trees."""
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    @classmethod
+    def fit(cls, train: DataFrame, p: ModelParams, pool: Executor) -> Forest:
+        return cls([f.result() for f in [pool.submit(_forest(n, seed, p).fit, train) for n, seed in forest_parts(p)]])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        trees = sum(m.getNumTrees for m in self.parts)
+        for k, m in enumerate(self.parts):
+            df = m.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_p{k}").transform(df)
+        votes = sum((positive(f"_p{k}") * m.getNumTrees for k, m in enumerate(self.parts)), F.lit(0.0))
+        p = votes / trees
+        return df.withColumn("p", p).withColumn("y_pred", F.when(p > 0.5, 1).otherwise(0)).drop(*[f"_p{k}" for k in range(len(self.parts))])
+
+
+def _fewer(df: DataFrame, n: int) -> DataFrame:
+    """Rows of a tree fit in as few partitions as their number asks for."""
+    return df.coalesce(max(2, math.ceil(n / ROWS_A_PARTITION)))
 
 
 class FoldFeatures:
-    """Feature pipelines of one fold, each fitted once on the training rows
-    and shared by every model of that mode; transformed training vectors
-    are cached for the iterative fits."""
+    """Feature pipelines of one training set, each fitted once and shared by
+    every model of that mode; medians and deviations are shared by the modes.
+    Transformed training vectors are cached for the iterative fits."""
 
     def __init__(self, train: DataFrame, test: DataFrame):
         self.train, self.test = with_weights(train), test
         self.n = train.count()
+        self._imputer = self._scaler = None
         self._done: dict = {}
 
+    def _shared(self) -> dict:
+        if self._imputer is None:
+            self._imputer = imputer_stage(BASELINE_FEATURES).fit(self.train)
+            self._scaler = scaler_stage(BASELINE_FEATURES).fit(self._imputer.transform(self.train))
+        return {"imputer": self._imputer, "scaler": self._scaler}
+
     def get(self, mode: tuple):
         if mode not in self._done:
-            pm = Pipeline(stages=feature_stages(*mode)).fit(self.train)
-            tr = pm.transform(self.train).select("record_id", "y", "weight", "features").cache()
-            te = pm.transform(self.test).select("record_id", "y", "features")
-            self._done[mode] = (tr, te)
+            told = self._shared() if mode[0] != "condition" else {}
+            pm = Pipeline(stages=feature_stages(*mode, **told)).fit(self.train)
+            tr = pm.transform(self.train).select("record_id", "y", "weight", "features")
+            tr = (tr if mode[1] else _fewer(tr, self.n)).cache()
+            self._done[mode] = (tr, pm.transform(self.test))
         return self._done[mode]
 
+    def fit(self, name: str, p: ModelParams, pool: Executor) -> DataFrame:
+        """The test rows with y_pred and p of one model."""
+        tr, te = self.get(MODEL_MODES[name])
+        if name.endswith("random_forest"):
+            return Forest.fit(tr, p, pool).transform(te)
+        if name.endswith("logistic"):
+            est = _logistic(self.n, p)
+        else:
+            est = GBTClassifier(featuresCol="features", labelCol="y", maxIter=p.boosting_iters,
+                                maxDepth=p.boosting_depth, stepSize=p.boosting_step, seed=p.seed)
+        return _p1(est.fit(tr).transform(te))
+
     def release(self):
         for tr, _ in self._done.values():
             tr.unpersist()
 
 
+#: Fits that run side by side; most of a fit's jobs are short and leave cores idle.
+PARALLEL_FITS = 8
+
+
+def fit_predict(name: str, train: DataFrame, test: DataFrame, p: ModelParams,
+                id_col: str = "record_id") -> DataFrame:
+    """Fit one model on ``train`` and return ``test`` with y_pred and p."""
+    if name == "majority_class":
+        return predict_majority(train, test)
+    if name == "stratified_dummy":
+        return predict_stratified_dummy(train, test, p.seed, id_col)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return FoldFeatures(train, test).fit(name, p, pool)
+
+
+PREDICTIONS = "protocol string, fold int, model string, record_id string, y int, y_pred int, p double"
+
+
+class FitLedger:
+    """Predictions of finished fits, one folder per (protocol, fold, model)
+    below ``root`` in the shared folder. A run that was cut off starts again
+    with the fits it lacks."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root
+
+    @classmethod
+    def of(cls, tagged: DataFrame, params: ModelParams) -> FitLedger:
+        """The ledger of these rows (all values and assignments) and settings."""
+        from ..session import shared_dir
+        cols = sorted(tagged.columns)
+        told = tagged.select(F.xxhash64(*[F.col(c) for c in cols]).alias("h")).agg(F.count("h"), F.bit_xor("h"), F.bit_xor(F.xxhash64("h", F.lit(1)))).first()
+        key = hashlib.sha256(repr((cols, asdict(params), tuple(told))).encode()).hexdigest()[:20]
+        return cls(tagged.sparkSession, f"{shared_dir(tagged.sparkSession).rstrip('/')}/assaykit/fits-{key}")
+
+    def _path(self, protocol: str, fold: int, model: str) -> str:
+        return f"{self.root}/protocol={protocol}/fold={fold}/model={model}"
+
+    def read(self, protocol: str, fold: int, model: str) -> DataFrame | None:
+        """The written predictions, or None if the fit has not finished."""
+        jvm = self.spark.sparkContext._jvm
+        mark = jvm.org.apache.hadoop.fs.Path(self._path(protocol, fold, model) + "/_SUCCESS")
+        if not mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+            return None
+        return self.spark.read.schema(PREDICTIONS).parquet(self._path(protocol, fold, model))
+
+    def write(self, protocol: str, fold: int, model: str, out: DataFrame) -> DataFrame:
+        out.select(F.lit(protocol).alias("protocol"), F.lit(fold).cast("int").alias("fold"), F.lit(model).alias("model"), "record_id",
+                   F.col("y").cast("int").alias("y"), F.col("y_pred").cast("int").alias("y_pred"), F.col("p").cast("double").alias("p")) \
+           .write.mode("overwrite").parquet(self._path(protocol, fold, model))
+        return self.read(protocol, fold, model)
+
+
 def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams | None = None,
-                  models: list[str] | None = None,
-                  parallel_folds: int = 4) -> tuple[DataFrame, list[tuple]]:
+                  models: list[str] | None = None, parallel_folds: int = 4,
+                  ledger: FitLedger | None = None) -> tuple[DataFrame, list[tuple]]:
     """For every (protocol, fold) of ``assignments`` (record_id, protocol,
     fold, split) and every model: fit on train only, score test.
 
     Returns the unioned predictions (protocol, fold, model, record_id, y,
-    y_pred, p) and a list of error rows. The (protocol, fold) list is
-    small (collected); each fit is a Spark job over that fold's rows."""
-    from ..session import materialize
+    y_pred, p) and a list of error rows. The rows are written once, in one
+    folder per protocol and fold, so a fit scans its own fold only. Finished
+    fits are in the ledger; those of a run before on the same rows and
+    settings are not fitted again. The (protocol, fold) list is small
+    (collected); each fit is a Spark job over that fold's rows."""
+    from ..session import scratch_path
+    spark = data.sparkSession
     params = params or ModelParams()
     models = models or MODEL_NAMES
-    # one join of features with every (protocol, fold, split) assignment,
-    # written once; each fit then reads only its fold's rows
-    tagged = materialize(data.join(assignments.select("record_id", "protocol", "fold", "split"),
-                                   "record_id"), "grid_input")
-    folds = sorted(tuple(r) for r in tagged.select("protocol", "fold").distinct().collect())
+    path = scratch_path(spark, "grid_input")
+    data.join(assignments.select("record_id", "protocol", "fold", "split"), "record_id") \
+        .write.partitionBy("protocol", "fold").parquet(path)
+    try:
+        tagged = spark.read.parquet(path)
+    except AnalysisException:  # no rows, so no folder and no schema
+        return spark.createDataFrame([], PREDICTIONS), []
+    ledger = ledger or FitLedger.of(tagged, params)
+    folds = sorted((str(p), int(f)) for p, f in tagged.select("protocol", "fold").distinct().collect())
+    fits = ThreadPoolExecutor(PARALLEL_FITS)
 
     def run_fold(pf):
         proto, fold = pf
-        f_preds, f_errors = [], []
-        f = tagged.where((F.col("protocol") == proto) & (F.col("fold") == fold))
-        train = f.where(F.col("split") == "train").cache()
-        test = f.where(F.col("split") == "test")
-        if train.isEmpty() or test.isEmpty():
-            f_errors.append((proto, fold, "__split__", "no train rows or no test rows among the records"))
-            train.unpersist()
-            return f_preds, f_errors
-        ff = FoldFeatures(train, test)
-        for m in models:
-            try:
-                if m in MODEL_MODES:
-                    tr, te = ff.get(MODEL_MODES[m])
-                    out = _p1(estimator(m, ff.n, params).fit(tr).transform(te))
-                else:
-                    out = fit_predict(m, train, test, params)
-                # Written here, so that an error at scoring time is this model's own.
-                f_preds.append(materialize(out.select(
-                    F.lit(proto).alias("protocol"), F.lit(fold).cast("int").alias("fold"),
-                    F.lit(m).alias("model"), "record_id", "y", F.col("y_pred").cast("int").alias("y_pred"),
-                    F.col("p").cast("double").alias("p")), "predictions"))
-            except Exception as e:  # one failing model leaves an error row and the rest
-                f_errors.append((proto, fold, m, repr(e)))
-        ff.release()
-        train.unpersist()
-        return f_preds, f_errors
+        done = {m: ledger.read(proto, fold, m) for m in models}
+        todo = [m for m in models if done[m] is None]
+        errors = []
+        if todo:
+            f = tagged.where((F.col("protocol") == proto) & (F.col("fold") == fold))
+            train, test = f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
+            if train.isEmpty() or test.isEmpty():
+                return [], [(proto, fold, "__split__", "no train rows or no test rows among the records")]
+            features = FoldFeatures(train, test)
+            for m in todo:
+                try:
+                    out = features.fit(m, params, fits) if m in MODEL_MODES else fit_predict(m, train, test, params)
+                    # Written here, so that an error at scoring time is this model's own.
+                    done[m] = ledger.write(proto, fold, m, out)
+                except Exception as e:  # one failing model leaves an error row and the rest
+                    errors.append((proto, fold, m, repr(e)))
+            features.release()
+        return [d for d in done.values() if d is not None], errors
 
     # folds are independent Spark jobs; a few run concurrently from the driver
-    from concurrent.futures import ThreadPoolExecutor
     preds, errors = [], []
-    with ThreadPoolExecutor(max_workers=max(1, parallel_folds)) as pool:
+    with fits, ThreadPoolExecutor(max_workers=max(1, parallel_folds)) as pool:
         for p_list, e_list in pool.map(run_fold, folds):
             preds += p_list
             errors += e_list
     if not preds:
-        empty = "protocol string, fold int, model string, record_id string, y int, y_pred int, p double"
-        return data.sparkSession.createDataFrame([], empty), errors
+        return spark.createDataFrame([], PREDICTIONS), errors
     return _union(preds), errors
 
 

@@ -8,9 +8,7 @@ sequence text itself, and carries the text with ``any_value``.
 """
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +16,8 @@ from ..functions.conditions import PHYSICAL_COLUMNS, TEMPLATE_NOTE, condition_cl
 from ..functions.sequence import (PEPTIDE_FEATURES, peptide_count_columns,
                                   peptide_descriptor_columns)
 from ..functions.text import missing_sequence_flag, sha1_hex, slugify
-from ..session import materialize
 from .ingest import INDEX_COL
-from .rows import small_join
+from .rows import exact_quantiles
 
 
 # ---------------------------------------------------------------------------
@@ -166,51 +163,30 @@ def category_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Exact quantiles without collecting the column
+# Numeric summaries
 # ---------------------------------------------------------------------------
-def _order_values(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
-    """Values at 0-based ranks of the sorted non-null column, exactly.
-
-    Equal values are counted in each task first; the distinct values are then
-    range-partitioned and every partition gets the rows before it as offset,
-    so one distributed sort answers all ranks, whatever the values' range
-    (infinities sort as values), and only the wanted rows reach the driver."""
-    counted = (df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-               .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    dealt = materialize(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    before = dealt.groupBy("part").agg(F.sum("c").alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    upto = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ends = small_join(dealt.withColumn("upto", upto), before, "part").withColumn("upto", F.col("before") + F.col("upto"))
-    wanted = F.filter(F.array(*[F.lit(r) for r in sorted(set(ranks))]), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))
-    return {r: row["v"] for row in ends.select("v", wanted.alias("ranks")).where(F.size("ranks") > 0).collect() for r in row["ranks"]}
+SUMMARY_FIELDS = ["mean", "std", "min", "q1", "median", "q3", "max"]
+
+
+def numeric_summaries(df: DataFrame, cols: list[str]) -> DataFrame:
+    """column_name, n, mean, sample std (0 when n = 1), min, q1, median, q3,
+    max of each column, quantiles with linear interpolation; all null when
+    n = 0.
+
+    Moments are one grouped aggregate over (column, value) rows, quantiles
+    are exact (:func:`assaykit.operators.rows.exact_quantiles`): the number
+    of shuffles does not depend on the number of columns."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])
+    moments = df.select(F.explode(cells).alias("x")).groupBy("x.column_name").agg(
+        F.count("x.v").alias("n"), F.avg("x.v").alias("mean"), F.stddev_samp("x.v").alias("std"), F.min("x.v").alias("min"), F.max("x.v").alias("max"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    # Both sides have one row per column of the list.
+    out = names.join(F.broadcast(moments), "column_name", "left").join(F.broadcast(exact_quantiles(df, cols, [0.25, 0.5, 0.75])), "column_name", "left")
+    return out.select("column_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean",
+                      F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.col("std")).alias("std"), "min",
+                      *[F.col("q")[k].alias(c) for k, c in enumerate(["q1", "median", "q3"])], "max")
 
 
 def numeric_summary(df: DataFrame, col: str) -> DataFrame:
-    """n, mean, sample std (0 when n = 1), min, q1, median, q3, max with
-    linear interpolation between order statistics; all null when n = 0.
-
-    Moments come from one aggregate; the quantiles are exact order
-    statistics found by :func:`_order_values`."""
-    spark = df.sparkSession
-    x = F.col(col).cast("double")
-    m = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-               F.min(x).alias("min"), F.max(x).alias("max")).first()
-    n = int(m["n"])
-    schema = T.StructType([T.StructField("n", T.LongType())] +
-                          [T.StructField(k, T.DoubleType()) for k in
-                           ["mean", "std", "min", "q1", "median", "q3", "max"]])
-    if n == 0:
-        return spark.createDataFrame([(0, None, None, None, None, None, None, None)], schema)
-    qs = {}
-    pos = {p: (n - 1) * p for p in (0.25, 0.5, 0.75)}
-    ranks = [int(math.floor(v)) for v in pos.values()] + [int(math.ceil(v)) for v in pos.values()]
-    vals = _order_values(df, col, ranks)
-    for p, v in pos.items():
-        lo, hi = int(math.floor(v)), int(math.ceil(v))
-        # Equal neighbours are taken as they are: infinity minus infinity is no number.
-        qs[p] = vals[lo] if vals[lo] == vals[hi] else vals[lo] + (vals[hi] - vals[lo]) * (v - lo)
-    std = float(m["std"]) if n > 1 else 0.0
-    row = (n, float(m["mean"]), std, float(m["min"]), qs[0.25], qs[0.5], qs[0.75], float(m["max"]))
-    return spark.createDataFrame([row], schema)
+    """:func:`numeric_summaries` of one column, without its name."""
+    return numeric_summaries(df, [col]).drop("column_name")

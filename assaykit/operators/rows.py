@@ -11,12 +11,17 @@
 * :func:`rank_within` ranks rows inside (possibly huge, few) strata by a
   hex digest. Ranking with ``row_number`` partitioned by a two-valued
   label would put each stratum in one task, so rows are first spread over
-  256 digest buckets; per-(stratum, bucket) counts (strata x 256 rows)
-  give each bucket its starting rank, and ``row_number`` runs per
-  (stratum, bucket).
+  buckets by as many leading digits of the digest as the largest stratum
+  asks for; per-(stratum, bucket) counts give each bucket its starting
+  rank, and ``row_number`` runs per (stratum, bucket).
+* :func:`running_sums` does the same for any order (scores, measured
+  values), whose spread is not known: the splitters are sampled by
+  ``repartitionByRange`` over (group, value).
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,24 +86,88 @@ def digest(seed, id_col) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
+#: Rows that one (stratum, bucket) of a ranking is meant to hold.
+ROWS_A_BUCKET = 100_000
+
+
+def prefix_digits(n: int) -> int:
+    """Leading hex digits that part ``n`` digests into buckets of about
+    ROWS_A_BUCKET; at least two, at most eight (4 x 10^9 buckets)."""
+    return min(8, max(2, math.ceil(math.log(max(n, 1) / ROWS_A_BUCKET, 16)) if n > ROWS_A_BUCKET else 2))
+
+
 def rank_within(df: DataFrame, stratum: str | None, key: Column, tie: str,
-                name: str = "rank", n_strata: int | None = None) -> DataFrame:
+                name: str = "rank", n_strata: int | None = None, largest: int | None = None) -> DataFrame:
     """1-based rank of each row by (``key``, ``tie``) inside its stratum.
 
-    ``key`` must be a hex digest (its first two digits pick one of 256
-    buckets, which keeps the order). Work per task is one (stratum,
-    bucket), so a stratum holding a third of all rows is still spread
-    over 256 tasks. ``n_strata`` (known to callers that allocated sizes
-    per stratum) bounds the offsets table at 256 rows per stratum."""
+    ``key`` must be a hex digest; its first digits pick the bucket, which
+    keeps the order. Work per task is one (stratum, bucket), so a stratum
+    holding a third of all rows is spread over 256 tasks, or over more if
+    ``largest``, the row count of the largest stratum, asks for them.
+    ``n_strata`` (known to callers that allocated sizes per stratum) bounds
+    the offsets table at that many rows times the buckets."""
     s = F.col(stratum) if stratum else F.lit(0)
+    digits = prefix_digits(largest or 0)
     tagged = df.withColumn("_key", key).withColumn("_stratum", s) \
-               .withColumn("_bucket", F.conv(F.substring("_key", 1, 2), 16, 10).cast("int"))
+               .withColumn("_bucket", F.conv(F.substring("_key", 1, digits), 16, 10).cast("long"))
     counts = tagged.groupBy("_stratum", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy("_stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_stratum", "_bucket",
                             F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    bound = None if n_strata is None else 256 * max(n_strata, 1)
+    bound = None if n_strata is None else 16 ** digits * max(n_strata, 1)
     joined = small_join(tagged, offsets, ["_stratum", "_bucket"], rows=bound)
     w = Window.partitionBy("_stratum", "_bucket").orderBy("_key", tie)
     out = joined.withColumn(name, (F.col("_off") + F.row_number().over(w)).cast("long"))
     return out.drop("_key", "_stratum", "_bucket", "_off")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str]) -> DataFrame:
+    """``df`` with, for each of ``sums``, ``{s}_below`` (its sum over the rows
+    of the group with a smaller ``order``) and ``{s}_total`` (over the group).
+
+    (keys, order) must be unique: count equal values first. Rows are dealt by
+    ranges of (keys, order) whose splitters Spark samples, so a group with all
+    rows, or values crowded in one spot, still spread over the tasks; a group's
+    totals per range (one row for each range it touches) give the offsets."""
+    from ..session import materialize
+    # Written, for both uses have to see the same ranges.
+    dealt = materialize(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*keys, "_part").agg(*[F.sum(s).alias(s) for s in sums])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_part", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_before") for s in sums],
+                            *[F.sum(s).over(group).alias(f"{s}_total") for s in sums])
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_{s}_inside") for s in sums])
+    # Null keys are groups as well, as in groupBy.
+    offsets = offsets.select(*[F.col(k).alias(f"_{k}_key") for k in [*keys, "_part"]], *[c for c in offsets.columns if c not in (*keys, "_part")])
+    same = F.lit(True)
+    for k in [*keys, "_part"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_key"))
+    joined = placed.join(offsets, same)
+    return joined.select(*df.columns, *[(F.col(f"_{s}_before") + F.col(f"_{s}_inside")).alias(f"{s}_below") for s in sums], *[f"{s}_total" for s in sums])
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """(column_name, q): for each column with a value the exact quantiles at
+    ``probs``, with linear interpolation between order statistics.
+
+    All columns go through one shuffle of counted (column, value) pairs and one
+    range partition of them, whatever their number; nulls and NaN count as
+    missing, infinities are values. One row per column."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(cols)])
+    counted = df.select(F.explode(cells).alias("x")).where("x.v is not null and not isnan(x.v)").groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(counted, ["i"], "v", ["n"])
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("n_below") <= rank) & (rank < F.col("n_below") + F.col("n")), F.col("v")))
+
+    ends = []
+    for k, p in enumerate(probs):
+        at = (F.col("n_total") - 1) * F.lit(float(p))
+        ends += [value_at(F.floor(at)).alias(f"lo{k}"), value_at(F.ceil(at)).alias(f"hi{k}"), F.max(at - F.floor(at)).alias(f"part{k}")]
+    found = placed.groupBy("i").agg(*ends)
+    # Equal neighbours are taken as they are: infinity minus infinity is no number.
+    between = [F.when(F.col(f"lo{k}") == F.col(f"hi{k}"), F.col(f"lo{k}")).otherwise(F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * F.col(f"part{k}"))
+               for k in range(len(probs))]
+    return found.select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("column_name"), F.array(*between).alias("q"))

@@ -267,14 +267,7 @@ add("category_counts", _category,
 
 
 def _numeric(spark, sf):
-    c = _build(spark, sf).clean
-    parts = []
-    for col in ["mw_num", "quantity_total_mg", "hplc_percent"]:
-        parts.append(qc.numeric_summary(c, col).select(F.lit(col).alias("column_name"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return qc.numeric_summaries(_build(spark, sf).clean, ["mw_num", "quantity_total_mg", "hplc_percent"])
 
 
 def _numeric_sql():

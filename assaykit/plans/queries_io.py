@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.mojibake import repair_column
+from ..functions.sequence import BASELINE_FEATURES
 from ..operators import audit as A
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -21,6 +22,7 @@ from . import oracle as o
 from .build import DatasetBuild
 from .catalog import add
 from .queries_metrics import results as metric_results
+from .queries_sequence import BASE_SQL
 from .queries_splits import (REC, SEED, group_holdout_sql, loco_sql, pair_holdout_sql, pair_kfold_sql,
                              records)
 
@@ -334,8 +336,37 @@ def _pipeline_out(mode, scaled):
     return q
 
 
-add("ml_impute_median", lambda s, sf: _pipeline_out("sequence", False)(s, sf))
-add("ml_standardize", lambda s, sf: _pipeline_out("sequence", True)(s, sf))
+def planted(columns: list[str]) -> list[str]:
+    """SQL of the columns with every seventh record's value missing, for each
+    column in other records."""
+    return [f"CASE WHEN CAST(record_id AS BIGINT) % 7 = {i % 7} THEN NULL ELSE {c} END AS {c}" for i, c in enumerate(columns)]
+
+
+def _numeric_stages(spark, sf, scaled: bool):
+    """The 54 features of the test records after the numeric stages, fitted on
+    the training records, with missing values planted in both."""
+    d = materialize(model_data(spark, sf).selectExpr("record_id", "split", *planted(BASELINE_FEATURES)), "model_data")
+    tr, te = d.where("split = 'train'"), d.where("split = 'test'")
+    imputer = ML.imputer_stage(BASELINE_FEATURES).fit(tr)
+    out = imputer.transform(te)
+    if scaled:
+        out = ML.scaler_stage(BASELINE_FEATURES).fit(imputer.transform(tr)).transform(out)
+    return out.select("record_id", *[F.col(f"{c}__{'std' if scaled else 'imp'}").alias(c) for c in BASELINE_FEATURES])
+
+
+def _numeric_stages_sql(scaled: bool) -> str:
+    def each(form: str) -> str:
+        return ", ".join(form.format(c=c) + f" AS {c}" for c in BASELINE_FEATURES)
+    return (HOLD + f", b AS ({BASE_SQL} SELECT * FROM b2), p AS (SELECT b.record_id, t.split, {', '.join(planted(BASELINE_FEATURES)).replace('CAST(record_id', 'CAST(b.record_id')} "
+            f"FROM b JOIN t ON t.record_id = b.record_id), m AS (SELECT {each('quantile_cont({c}, 0.5)')} FROM p WHERE split = 'train'), "
+            f"i AS (SELECT p.record_id, p.split, {each('coalesce(p.{c}, m.{c})')} FROM p, m)"
+            + (f", a AS (SELECT {each('avg({c})')} FROM i WHERE split = 'train'), d AS (SELECT {each('stddev_pop({c})')} FROM i WHERE split = 'train') "
+               f"SELECT i.record_id, {each('(i.{c} - a.{c}) / CASE WHEN d.{c} = 0 THEN 1 ELSE d.{c} END')} FROM i, a, d WHERE split = 'test'"
+               if scaled else " SELECT * EXCLUDE (split) FROM i WHERE split = 'test'"))
+
+
+add("ml_impute_median", lambda s, sf: _numeric_stages(s, sf, False), _numeric_stages_sql(False), BASELINE_FEATURES)
+add("ml_standardize", lambda s, sf: _numeric_stages(s, sf, True), _numeric_stages_sql(True), BASELINE_FEATURES)
 add("ml_one_hot", lambda s, sf: _pipeline_out("condition", False)(s, sf))
 add("ml_feature_modes", lambda s, sf: _pipeline_out("both", True)(s, sf))
 
@@ -352,7 +383,20 @@ add("model_logistic_condition", _model("solvent_logistic"))
 add("model_logistic_both", _model("sequence_solvent_logistic"))
 add("model_random_forest", _model("sequence_solvent_random_forest"))
 add("model_gradient_boosting", _model("sequence_solvent_gradient_boosting"))
-add("positive_probability", _model("sequence_solvent_logistic"))
+
+
+def _positive_probability(spark, sf):
+    """P(1) of the test records by a model that knows both labels, and by
+    models trained on one label alone."""
+    tr, te = _train_test(spark, sf)
+    out = []
+    for name, rows in (("both", tr), ("0", tr.where("y = 0")), ("1", tr.where("y = 1"))):
+        got = ML.fit_predict("solvent_logistic", rows, te, ML.ModelParams())
+        out.append(got.select(F.lit(name).alias("trained_on"), "record_id", "y", "y_pred", "p"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+add("positive_probability", _positive_probability)
 
 
 def _grid(spark, sf):
