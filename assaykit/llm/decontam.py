@@ -9,14 +9,19 @@ is a stretch of ``MIN_TOKENS`` tokens or more (the whole item, if shorter) with
 4 of 5 equal: the one of best score (+1 equal, -2 substituted) if that has
 both, otherwise the longest that has.
 
-An item shorter than the longest mask has a mask of its own length with no
-ignored position. Items under ``MIN_ITEM`` tokens are no evidence and are not
-searched. The item hashes are broadcast in blocks of at most ``BLOCK`` rows; a
+An item shorter than the longest mask is searched by its first and its last
+``SIDE`` tokens. With 4 of 5 equal it may hold one substituted token from five
+tokens on, and one of the two ends is then as it was; in an item of five tokens
+the middle one belongs to both, and that one must be equal. Items of one or two
+tokens (under ``MIN_ITEM``) are single words or pairs that any text holds; they
+are no evidence and are not searched. The item hashes are broadcast in blocks of at most ``BLOCK`` rows; a
 larger benchmark is searched block after block, so any size gives whole results
 in bounded memory, and the documents are never shuffled.
 
 Defined cases: a null or empty text or item has no tokens and never matches;
-items with equal tokens are one, under their smallest id (null ids last); rows
+items with equal tokens are one, under their smallest id (null ids last); texts
+under one id, or without an id, are searched each for itself and give one row a
+document, that of the best overlap; rows
 that repeat a doc_id and text are one document in the result; equal overlaps are
 resolved to the earliest; empty tables give an empty result; other columns are
 not read by the search and come through ``clean`` unchanged.
@@ -32,7 +37,7 @@ from assaykit.llm.common import running, whole
 from assaykit.session import materialize
 
 SIDE, GAPS = 3, (1, 2, 4)
-MIN_TOKENS, MIN_ITEM = 12, 5
+MIN_TOKENS, MIN_ITEM = 12, SIDE
 EQUAL, OF = 4, 5
 BLOCK = 1_000_000
 
@@ -104,9 +109,11 @@ def _ints(**fields: Column) -> Column:
 
 
 def items(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """Distinct items with enough tokens: item_id, item (token hashes)."""
+    """Distinct items with enough tokens: item_id, item (token hashes), and
+    ``num``, which tells texts under one id apart once the table is written."""
     read = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), tokens(F.col(f"`{text}`")).alias("item"))
-    return read.groupBy("item").agg(F.min("item_id").alias("item_id")).where(F.size("item") >= MIN_ITEM)
+    distinct = read.groupBy("item").agg(F.min("item_id").alias("item_id")).where(F.size("item") >= MIN_ITEM)
+    return distinct.withColumn("num", F.monotonically_increasing_id())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -114,18 +121,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     the text), item_id, doc_start and n_tokens (the overlap, in tokens), n_equal."""
     known = materialize(items(benchmark), "items")
     longest = offsets(max(GAPS))[-1] + 1
-    lengths = sorted(r[0] for r in known.select(F.size("item").alias("n")).where(F.col("n") < longest).distinct().collect())  # at most ``longest`` numbers
-    masks = [*map(offsets, GAPS), *[list(range(n)) for n in lengths]]
-    # A short item is found by its own length only, any other by the spaced masks, where they fit.
+    masks = [*map(offsets, GAPS), list(range(SIDE))]
+    # The last mask is for both ends of short items, the spaced ones are for all others, where they fit.
     size, spans = F.size("toks"), F.array(*[F.lit(at[-1] + 1) for at in masks])
-    span = F.get(spans, F.col("mask"))
-    fits = F.when(F.col("mask") < len(GAPS), (size >= longest) & (F.col("at") + span <= size)).otherwise(size == span)
-    test = _keyed(_positions(known.select("item_id", F.col("item").alias("toks"))), masks).where(fits)
-    test = materialize(test.select("key", "side", "item_id", F.col("at").alias("j")), "seeds")
+    ends = (F.col("at") == 0) | (F.col("at") == size - SIDE)
+    fits = F.when(F.col("mask") < len(GAPS), (size >= longest) & (F.col("at") + F.get(spans, F.col("mask")) <= size)).otherwise((size < longest) & ends)
+    test = _keyed(_positions(known.select("num", "item_id", F.col("item").alias("toks"))), masks).where(fits)
+    test = materialize(test.select("key", "mask", "side", "num", F.col("at").alias("j")), "seeds")
     blocks = max(1, -(-test.count() // BLOCK))
     t = F.col(f"`{text}`")
     train = _positions(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("x"), tokens(t).alias("toks")))
-    in_block = lambda df, b: df.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+    in_block = lambda df, b: df.where(F.pmod(F.xxhash64("num"), F.lit(blocks)) == b)
     all_found = reduce(DataFrame.union, [_verified(train, in_block(test, b), in_block(known, b), masks) for b in range(blocks)])
     best = F.max_by(F.struct("doc_start", "n_tokens", "n_equal"), F.struct("n_equal", -F.col("doc_start")))
     return all_found.groupBy("doc_id", "x", "item_id").agg(best.alias("b")).select("doc_id", "x", "item_id", "b.*")
@@ -135,12 +141,12 @@ def _verified(train: DataFrame, test: DataFrame, known: DataFrame, masks: list[l
     # First the half of a mask: a position whose first tokens begin no seed has no hit.
     begins = test.select("side").distinct()
     begun = train.join(F.broadcast(begins), "side", "left_semi")
-    hits = _keyed(begun, masks).join(F.broadcast(test.select("key", "item_id", "j")), "key").withColumnRenamed("at", "i")
-    hits = hits.join(F.broadcast(known.select(F.col("item_id").alias("_item"), "item")), F.col("item_id").eqNullSafe(F.col("_item")))
+    hits = _keyed(begun, masks).join(F.broadcast(test.select("key", "mask", "num", "j")), ["key", "mask"]).withColumnRenamed("at", "i")
+    hits = hits.join(F.broadcast(known.select("num", "item_id", "item")), "num")
     doc, item, i, j = F.col("toks"), F.col("item"), F.col("i"), F.col("j")
-    # Of the hits of one mask along an overlap only the first is compared.
+    # Of the hits of one spaced mask along an overlap only the first is compared.
     follows = F.lit(False)
-    for m, at in enumerate(masks):
+    for m, at in enumerate(masks[:len(GAPS)]):
         same = reduce(lambda a, b: a & b, [F.get(doc, F.greatest(i - 1 + o, F.lit(0))) == F.get(item, F.greatest(j - 1 + o, F.lit(0))) for o in at])
         follows = F.when(F.col("mask") == m, (i > 0) & (j > 0) & F.coalesce(same, F.lit(False))).otherwise(follows)
     hits = hits.where(~follows)

@@ -30,7 +30,8 @@ def test_planted_passages(spark):
     bench = bench.union(spark.createDataFrame([(5000, "Alpha, beta gamma delta epsilon"), (5001, "a b"), (5002, None), (None, "")], "item_id long, text string"))
     found = decontam.report(df, bench).collect()
     got = {(r.doc_id, r.item_id) for r in found}
-    assert {d for d, _ in got if d >= 10**6} == {10**6 + k for k in range(40)} | {10**6 + 50}
+    # An item of five tokens is found with one of them substituted (4 of 5).
+    assert {d for d, _ in got if d >= 10**6} == {10**6 + k for k in range(40)} | {10**6 + 50, 10**6 + 51}
     texts = {r.doc_id: toks(r.text) for r in df.collect()}
     # All that share 13 tokens in a row are found; all that are found share 4 in a row.
     sure = {(d, i) for d, t in texts.items() for i, x in items.items() if shares_run(t, toks(x), 13)}
@@ -100,3 +101,27 @@ def test_long_items_are_compared_whole(spark):
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string")
     found = decontam.report(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == [(1, 7, 1, 300, 300), (2, 7, 0, 300, 267), (3, 7, 0, 100, 100)]
+
+
+def test_texts_under_one_id_and_without_id(spark):
+    """Each text is compared with its own hits; a passage of the back of the longer one crashed."""
+    long, short = [f"l{k}" for k in range(40)], [f"s{k}" for k in range(14)]
+    docs = spark.createDataFrame([(1, " ".join(["x", *long[24:], "y"])), (2, " ".join(short)), (3, " ".join(long[:20] + short)), (4, "clean text")], "doc_id long, text string")
+    for own in (7, None):
+        bench = spark.createDataFrame([(own, " ".join(long)), (own, " ".join(short))], "item_id long, text string")
+        got = sorted(map(tuple, decontam.report(docs, bench).collect()))
+        assert got == [(1, own, 1, 16, 16), (2, own, 0, 14, 14), (3, own, 0, 20, 20)]
+        assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [4]
+
+
+def test_short_items(spark):
+    """Items of 3 to 9 tokens against all places, with one substitution from five tokens on."""
+    rows, items = [], []
+    for n in range(1, 10):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for at in (None, *range(n)):
+            rows.append((100 * n + (99 if at is None else at), " ".join(["before", *[w if k != at else "other" for k, w in enumerate(item)], "after"])))
+    got = {(r.doc_id, r.item_id, r.n_tokens, r.n_equal) for r in decontam.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(100 * n + 99, n, n, n) for n in range(3, 10)} | {(100 * n + at, n, n, n - 1) for n in range(5, 10) for at in range(n) if (n, at) != (5, 2)}
+    assert got == want
