@@ -35,7 +35,7 @@ from assaykit.session import materialize
 
 GRAMS, BUCKETS = (3, 4, 5), 1 << 18
 MOST_TRAINING, FOLDS = 5_000, 5
-LEAST_Z, MOST_FEATURES, RIDGE, ROUNDS = 4.0, 8_192, 1e-3, 60
+LEAST_Z, RIDGE, ROUNDS = 4.0, 1e-3, 60
 
 
 def buckets_of(text: str) -> np.ndarray:
@@ -116,8 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         share = (told.get(1, (0, 0))[0] + 1) / (n + 2) if n else 0.0
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))) if share else -700.0)
     r, z = ratios(rows)
-    picked = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    picked = np.sort(picked[z[picked] >= LEAST_Z]).astype(np.int32)
+    picked = np.flatnonzero(z >= LEAST_Z).astype(np.int32)
     scale = r[picked]
 
     @F.udf(VectorUDT())

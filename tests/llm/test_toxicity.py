@@ -38,3 +38,30 @@ def test_without_two_classes(spark):
     assert len(got) == df.count() and len({r.score for r in got}) == 1 and 0.5 < got[0].score < 1
     assert all(r.held_out for r in got if r.doc_id is None)
     assert toxicity.report(df.limit(0), one).count() == 0
+
+
+def test_ratios_against_a_recount(spark):
+    """Counts, ratios and errors bucket by bucket, and all that reach the least error are features."""
+    texts = [("you are vile scum", 1)] * 240 + [("a calm day by the sea", 0)] * 260 + [("vile weather by the sea", 0)] * 3 + [("", 1), ("ab", 0)]
+    rows = [(sorted({int(b) for b in toxicity.buckets_of(t)}), y) for t, y in texts]
+    r, z = toxicity.ratios(spark.createDataFrame(rows, "found array<int>, y int").repartition(3))
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    for b in sorted({b for f, _ in rows for b in f}) + [next(k for k in range(toxicity.BUCKETS) if not any(k in f for f, _ in rows))]:
+        a1, a0 = 1 + sum(b in f for f, y in rows if y), 1 + sum(b in f for f, y in rows if not y)
+        want = np.log(a1 / (n1 + 2)) - np.log(a0 / (n0 + 2))
+        error = np.sqrt(max(1 / a1 - 1 / (n1 + 2), 0) + max(1 / a0 - 1 / (n0 + 2), 0))
+        assert abs(r[b] - want) < 1e-12 and abs(z[b] - abs(want) / max(error, 1e-9)) < 1e-9
+    docs = spark.createDataFrame([(i + 1, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i + 1, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    known = [(sorted({int(b) for b in toxicity.buckets_of(t)}), y) for i, (t, y) in enumerate(texts) if zlib.crc32(str(i + 1).encode()) % 5]
+    _, z = toxicity.ratios(spark.createDataFrame(known, "found array<int>, y int"))
+    model = toxicity.fit(docs, labels)
+    assert set(np.flatnonzero(model.weights)) <= set(np.flatnonzero(z >= toxicity.LEAST_Z)) and (z >= toxicity.LEAST_Z).sum() > 20
+    assert model.score("vile scum") > 0.9 > 0.1 > model.score("by the sea")
+
+
+def test_clashing_names_come_through(spark):
+    df = odd_docs(spark).withColumnRenamed("x", "score_").withColumnRenamed("w", "y")
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0)
+    out = toxicity.score(df, model)
+    assert out.columns == [*df.columns, "score"] and {r.score for r in out.collect()} == {0.5} and out.count() == df.count()
