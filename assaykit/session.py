@@ -44,8 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        d = tempfile.mkdtemp(prefix="assaykit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        # The setting is a static one; the folder is registered with the context, which is asked above.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assaykit-ckpt-"))
+        d = spark.sparkContext.getCheckpointDir()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
