@@ -74,11 +74,12 @@ def weird_count(x) -> Column:
     return F.regexp_count(_c(x), F.lit(cls))
 
 
-def normalize_sequence(x) -> Column:
-    """clean_text, upper-case, drop all whitespace; null -> ''."""
-    c = _c(x)
+def normalize_sequence(x, cleaned: bool = False) -> Column:
+    """clean_text, upper-case, drop all whitespace; null -> ''.
+    ``cleaned=True`` skips the (idempotent) text cleaning."""
+    c = _c(x) if cleaned else clean_text(x)
     # after clean_text the only whitespace left is the plain space
-    return F.coalesce(F.replace(F.upper(clean_text(c)), F.lit(" "), F.lit("")), F.lit(""))
+    return F.coalesce(F.replace(F.upper(c), F.lit(" "), F.lit("")), F.lit(""))
 
 
 def letters_only_sequence(x) -> Column:

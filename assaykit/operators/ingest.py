@@ -21,6 +21,8 @@ DERIVED_NUMERIC = [("difficulty_score", "difficulty_score_num", parse_number),
                    ("hplc_result", "hplc_percent", parse_number)]
 
 INDEX_COL = "source_row_index"
+#: SHA-1 of the cleaned sequence, in tables that store it (see :func:`stored`).
+KEY = "_sequence_key"
 
 
 def q(name: str):
@@ -62,6 +64,20 @@ def ingest_wide(raw: DataFrame, index_col: str = INDEX_COL, repair_cells: bool =
     return df.select(*out)
 
 
+def stored(clean: DataFrame) -> DataFrame:
+    """``clean_wide`` for writing: the text of the sequence once (its raw form
+    is the column ``sequence``, its clean form follows from it), and the KEY."""
+    return clean.withColumn(KEY, F.sha1(F.col("sequence_clean"))).drop("sequence_raw", "sequence_clean")
+
+
+def restored(written: DataFrame) -> DataFrame:
+    """``clean_wide`` with KEY from what :func:`stored` wrote; columns in the
+    order of :func:`ingest_wide`. Jobs that select no text do not read it."""
+    at = written.columns.index("sequence_id")
+    texts = [F.col("sequence").alias("sequence_raw"), normalize_sequence("sequence", cleaned=True).alias("sequence_clean")]
+    return written.select(*[q(c) for c in written.columns[:at]], *texts, *[q(c) for c in written.columns[at:]])
+
+
 @dataclass
 class ConditionStats:
     column: str
@@ -77,7 +93,7 @@ class ConditionStats:
 
 def condition_candidates(clean: DataFrame) -> list[str]:
     """Every column but the metadata roles is a candidate (in order)."""
-    return [c for c in clean.columns if c not in META_COLUMNS]
+    return [c for c in clean.columns if c not in META_COLUMNS and c != KEY]
 
 
 def condition_stats_frame(clean: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """QC and summary tables as grouped aggregates.
 
-Scale notes: every grouping here is a hash aggregate with map-side
-partial aggregation, so a key holding a third of the rows is combined
-per task before the shuffle. Sequence grouping uses the full SHA-1 of the
-cleaned sequence as the key (collision-safe, 40 bytes) instead of the
-sequence text itself, and carries the text with ``any_value``.
+Scale notes: groupings carry numbers only (keys, counts, the smallest row
+index), so they are hash aggregates with map-side partial aggregation, and a
+key holding a third of the rows is combined per task before the shuffle; texts
+are fetched afterwards, by row index, for the one row of each group that is
+shown. Sequence grouping uses the full SHA-1 of the cleaned sequence as the key
+(collision-safe, 40 bytes), taken from the column ``KEY`` where the table has
+it, so that the text need not be read.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +18,9 @@ from ..functions.conditions import PHYSICAL_COLUMNS, TEMPLATE_NOTE, condition_cl
 from ..functions.sequence import (PEPTIDE_FEATURES, peptide_count_columns,
                                   peptide_descriptor_columns)
 from ..functions.text import missing_sequence_flag, sha1_hex, slugify
-from .ingest import INDEX_COL
-from .rows import exact_quantiles
+from ..session import materialize
+from .ingest import INDEX_COL, KEY
+from .rows import exact_quantiles, running_sums
 
 
 # ---------------------------------------------------------------------------
@@ -54,40 +57,87 @@ def condition_summary(long: DataFrame, clean: DataFrame, conditions: list[str])
         F.coalesce(F.col("n_unique_peptides"), F.lit(0)).cast("long").alias("n_unique_peptides"))
 
 
-def label_variability(long: DataFrame) -> DataFrame:
+def sequence_key(df: DataFrame) -> Column:
+    """SHA-1 of the cleaned sequence: stored, or taken from the text."""
+    return F.col(KEY) if KEY in df.columns else sha1_hex("sequence_clean")
+
+
+def _texts(long: DataFrame, clean: DataFrame | None) -> DataFrame:
+    """(row index, sequence_id, sequence_clean), one row per wide row."""
+    t = (clean if clean is not None else long).select(INDEX_COL, "sequence_id", "sequence_clean")
+    return t if clean is not None else t.dropDuplicates([INDEX_COL])
+
+
+def label_variability(long: DataFrame, clean: DataFrame | None = None) -> DataFrame:
     """Per sequence: records, distinct conditions, positives, negatives and
-    a discordant flag (both labels seen)."""
-    g = long.groupBy(sha1_hex("sequence_clean").alias("_k")).agg(
-        F.any_value("sequence_id").alias("sequence_id"),
-        F.any_value("sequence_clean").alias("sequence_clean"),
+    a discordant flag (both labels seen). ``clean``, the wide table, gives
+    the texts of the sequences if it is at hand."""
+    g = long.groupBy(sequence_key(long).alias("_k")).agg(
+        F.min(INDEX_COL).alias("_first"),
         F.count(F.lit(1)).alias("n_records"),
         F.countDistinct("solvent_id").alias("n_solvents_tested"),
         F.count_if(F.col("y") == 1).alias("n_soluble"),
         F.count_if(F.col("y") == 0).alias("n_insoluble"))
-    return g.select(
+    return _texts(long, clean).join(g, F.col(INDEX_COL) == F.col("_first")).select(
         "sequence_id", "sequence_clean", "n_records", "n_solvents_tested", "n_soluble",
         "n_insoluble",
         F.when((F.col("n_soluble") > 0) & (F.col("n_insoluble") > 0), 1).otherwise(0)
         .cast("int").alias("has_discordant_solvent_labels"))
 
 
-def duplicate_conflicts(long: DataFrame, order_col: str = INDEX_COL) -> DataFrame:
+def duplicate_groups(long: DataFrame) -> DataFrame:
+    """Per (sequence, condition), as (_k, solvent_name): records, distinct
+    labels (0 and 1) and their sorted list, duplicate and conflict flags, and
+    ``_first``, the smallest row index. Numbers only."""
+    g = long.groupBy(sequence_key(long).alias("_k"), "solvent_name").agg(
+        F.min(INDEX_COL).alias("_first"), F.count(F.lit(1)).alias("n_records"),
+        F.min("y").alias("_low"), F.max("y").alias("_high"))
+    labels = F.array_distinct(F.array("_low", "_high"))
+    return g.select(
+        "_k", "solvent_name", "_first", "n_records", F.size(labels).cast("long").alias("n_unique_labels"),
+        F.array_join(F.transform(labels, lambda v: v.cast("string")), ";").alias("labels_observed"),
+        F.when(F.col("n_records") > 1, 1).otherwise(0).cast("int").alias("has_duplicate"),
+        F.when(F.size(labels) > 1, 1).otherwise(0).cast("int").alias("has_conflict"))
+
+
+def group_members(long: DataFrame, order_col: str = INDEX_COL) -> DataFrame:
+    """The child table of :func:`duplicate_groups`: (_k, solvent_name, rank,
+    observation_id), ranked from 1 in row order. Ranks come from ranges of
+    (group, row), so a group with a third of all rows is many tasks' work."""
+    rows = long.select(sequence_key(long).alias("_k"), "solvent_name", F.col(order_col).alias("_row"), "observation_id", F.lit(1).cast("long").alias("n"))
+    return running_sums(rows, ["_k", "solvent_name"], "_row", ["n"]).select("_k", "solvent_name", (F.col("n_below") + 1).alias("rank"), "observation_id")
+
+
+#: Ids that are joined to one piece of text before the pieces are.
+IDS_A_PIECE = 1000
+
+
+def member_lists(members: DataFrame) -> DataFrame:
+    """For an export: the ids of each group joined by ';' in rank order,
+    (_k, solvent_name, observation_ids). Pieces of at most IDS_A_PIECE ids are
+    joined first, in many tasks; the whole string, which is what the export
+    asks for, exists in one row only at the end."""
+    def joined(order: str, text: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), ";")
+
+    pieces = members.groupBy("_k", "solvent_name", F.expr(f"(rank - 1) div {IDS_A_PIECE}").alias("piece")).agg(joined("rank", "observation_id").alias("ids"))
+    return pieces.groupBy("_k", "solvent_name").agg(joined("piece", "ids").alias("observation_ids"))
+
+
+CONFLICT_COLUMNS = ["sequence_clean", "solvent_name", "n_records", "n_unique_labels", "labels_observed", "has_duplicate", "has_conflict"]
+
+
+def named_groups(long: DataFrame, clean: DataFrame | None = None) -> DataFrame:
+    """:func:`duplicate_groups` with the text of the sequence."""
+    return _texts(long, clean).join(duplicate_groups(long), F.col(INDEX_COL) == F.col("_first")).select("_k", *CONFLICT_COLUMNS)
+
+
+def duplicate_conflicts(long: DataFrame, clean: DataFrame | None = None) -> DataFrame:
     """Per (sequence, condition): records, distinct labels, the sorted
     labels joined by ';', duplicate and conflict flags, and the
     observation ids joined in source-row order."""
-    g = long.groupBy(sha1_hex("sequence_clean").alias("_k"), "solvent_name").agg(
-        F.any_value("sequence_clean").alias("sequence_clean"),
-        F.count(F.lit(1)).alias("n_records"),
-        F.array_sort(F.collect_set(F.col("y"))).alias("_labels"),
-        F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
-                                             F.col("observation_id").alias("id")))).alias("_ids"))
-    n_lab = F.size("_labels").cast("long")
-    return g.select(
-        "sequence_clean", "solvent_name", "n_records", n_lab.alias("n_unique_labels"),
-        F.array_join(F.transform("_labels", lambda v: v.cast("string")), ";").alias("labels_observed"),
-        F.when(F.col("n_records") > 1, 1).otherwise(0).cast("int").alias("has_duplicate"),
-        F.when(n_lab > 1, 1).otherwise(0).cast("int").alias("has_conflict"),
-        F.array_join(F.transform("_ids", lambda s: s["id"]), ";").alias("observation_ids"))
+    lists = member_lists(group_members(long))
+    return named_groups(long, clean).join(lists, ["_k", "solvent_name"]).select(*CONFLICT_COLUMNS, "observation_ids")
 
 
 def sort_conflicts(dc: DataFrame) -> DataFrame:
@@ -96,11 +146,21 @@ def sort_conflicts(dc: DataFrame) -> DataFrame:
                       "sequence_clean", "solvent_name")
 
 
+def top_conflicts(long: DataFrame, clean: DataFrame | None = None, n: int = 30) -> DataFrame:
+    """The first ``n`` of :func:`sort_conflicts`; ids are listed for those
+    groups only."""
+    top = materialize(sort_conflicts(named_groups(long, clean)).limit(n), "top_conflicts")
+    members = group_members(long).join(F.broadcast(top.select("_k", "solvent_name")), ["_k", "solvent_name"], "left_semi")  # n rows
+    return sort_conflicts(top.join(member_lists(members), ["_k", "solvent_name"]).select(*CONFLICT_COLUMNS, "observation_ids"))
+
+
 def distinct_by_key(df: DataFrame, key: str, cols: list[str], order_col: str = INDEX_COL) -> DataFrame:
-    """First row (lowest ``order_col``) per key, deterministic. ``min_by``
-    is combined map-side, so a hot key costs one struct per task."""
-    first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_first")
-    return df.groupBy(key).agg(first).select(key, *[F.col("_first")[c].alias(c) for c in cols])
+    """First row (lowest ``order_col``, unique) per key, deterministic. Only
+    key and row number are grouped; the other columns are read for the rows
+    that are kept and cross one exchange at most."""
+    first = df.groupBy(key).agg(F.min(order_col).alias("_first")).select("_first")
+    kept = df.join(first, F.col(order_col) == F.col("_first"), "left_semi")
+    return kept.select(key, *cols)
 
 
 def peptide_features(clean: DataFrame) -> DataFrame:
@@ -121,9 +181,9 @@ def join_long_features(long: DataFrame, feats: DataFrame) -> DataFrame:
     """``features_for_model``: left join of long rows with the features on
     (sequence_id, sequence_clean). The text is compared through its SHA-1,
     so the join key stays 52 bytes whatever the sequence length."""
-    f = feats.drop("sequence_raw").withColumn("_k", sha1_hex("sequence_clean")).drop("sequence_clean")
-    l = long.withColumn("_k", sha1_hex("sequence_clean"))
-    return l.join(f, ["sequence_id", "_k"], "left").drop("_k")
+    f = feats.drop("sequence_raw").withColumn("_k", sequence_key(feats)).drop("sequence_clean", KEY)
+    l = long.withColumn("_k", sequence_key(long))
+    return l.join(f, ["sequence_id", "_k"], "left").drop("_k", KEY)
 
 
 def sequence_qc(feats: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import normalize_label
 from ..functions.text import slugify, stable_id
-from .ingest import INDEX_COL, q
+from .ingest import INDEX_COL, KEY, q
 
 # Metadata carried onto every long row when present, in output order.
 LONG_OPTIONAL = ["difficulty_prediction", "difficulty_score", "difficulty_score_num", "mw",
@@ -31,8 +31,8 @@ def wide_to_long(clean: DataFrame, conditions: list[str]) -> DataFrame:
     sequence_clean, solvent_name, solvent_id, label_raw, y, metadata...
 
     ``clean`` is the output of :func:`assaykit.operators.ingest.ingest_wide`,
-    so its cells are already cleaned."""
-    opt = [c for c in LONG_OPTIONAL if c in clean.columns]
+    so its cells are already cleaned; a stored KEY comes last."""
+    opt = [c for c in [*LONG_OPTIONAL, KEY] if c in clean.columns]
     cells = _unpivot(clean, conditions, LONG_IDS + opt)
     y = normalize_label("label_raw", cleaned=True)
     labelled = cells.withColumn("y", y).where(F.col("y").isNotNull())

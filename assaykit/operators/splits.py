@@ -14,9 +14,11 @@ rule can be checked in SQL. Sizes follow the usual conventions:
 * stratification only when >= 2 classes and every class reaches the
   minimum (2 for a holdout, k for k-fold), else one stratum.
 
-Ranks come from :func:`assaykit.operators.rows.rank_within` (256 digest
-buckets per stratum), so a stratum with a third of the data is never one
-task. Driver-side work is limited to per-stratum counts.
+Ranks come from :func:`assaykit.operators.rows.rank_within` (256 or more
+digest buckets per stratum), so a stratum with a third of the data is never
+one task. Ranking moves ids, digests and strata only; sequences and the rest
+of the context are joined to the finished assignment. Driver-side work is
+limited to per-stratum counts.
 """
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import digest, rank_within, small_join
+from .rows import digest, rank_within, running_sums, small_join
 
 TEST_FRACTION = Fraction(15, 100)
 VAL_FRACTION_OF_REST = Fraction(15, 85)
@@ -70,9 +72,11 @@ def _stratum(col: str | None):
     return F.coalesce(F.col(col).cast("string"), F.lit("")) if col else F.lit("")
 
 
-def holdout_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int) -> DataFrame:
+def holdout_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int, digests: tuple | None = None) -> DataFrame:
     """70/15/15 holdout of the rows of ``df`` (unique ``id_col``):
-    adds ``split`` in {train, val, test}."""
+    adds ``split`` in {train, val, test}. ``digests`` are the order keys of the
+    test and the validation draw, if they are columns already."""
+    first, second = digests or (digest(seed, id_col), digest(seed + 1, id_col))
     spark = df.sparkSession
     work = df.withColumn("_s", _stratum(stratum))
     counts = stratum_counts(work, "_s")
@@ -83,7 +87,7 @@ def holdout_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int) -
     stype = work.schema["_s"].dataType
     n_test = math.ceil(n * TEST_FRACTION)
     test_sz = allocate(counts, n_test)
-    ranked = rank_within(work, "_s", digest(seed, id_col), id_col, "_r1", n_strata=len(counts))
+    ranked = rank_within(work, "_s", first, id_col, "_r1", n_strata=len(counts), largest=max((c for _, c in counts), default=0))
     ranked = small_join(ranked, _sizes_frame(spark, test_sz, stype, "_nt").withColumnRenamed(
         "_stratum", "_s"), "_s", "left", rows=len(counts))
     ranked = ranked.withColumn("_is_test", F.col("_r1") <= F.coalesce(F.col("_nt"), F.lit(0)))
@@ -94,7 +98,7 @@ def holdout_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int) -
         rest_counts = [("", sum(c for _, c in rest_counts))]
     n_val = math.ceil((n - n_test) * VAL_FRACTION_OF_REST)
     val_sz = allocate(rest_counts, n_val)
-    rest = rank_within(rest, "_s", digest(seed + 1, id_col), id_col, "_r2", n_strata=len(rest_counts))
+    rest = rank_within(rest, "_s", second, id_col, "_r2", n_strata=len(rest_counts), largest=max((c for _, c in rest_counts), default=0))
     rest = small_join(rest, _sizes_frame(spark, val_sz, stype, "_nv").withColumnRenamed(
         "_stratum", "_s"), "_s", "left", rows=len(rest_counts))
     rest = rest.withColumn("split", F.when(F.col("_r2") <= F.coalesce(F.col("_nv"), F.lit(0)), "val")
@@ -104,8 +108,9 @@ def holdout_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int) -
     return test.select(*cols).unionByName(rest.select(*cols))
 
 
-def kfold_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int, k: int = 5) -> DataFrame:
-    """Adds ``fold_id`` in [0, k): the test fold of each row."""
+def kfold_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int, k: int = 5, order=None) -> DataFrame:
+    """Adds ``fold_id`` in [0, k): the test fold of each row. ``order`` is the
+    order key, if it is a column already."""
     spark = df.sparkSession
     work = df.withColumn("_s", _stratum(stratum))
     counts = stratum_counts(work, "_s")
@@ -117,7 +122,7 @@ def kfold_assign(df: DataFrame, id_col: str, stratum: str | None, seed: int, k:
         starts[key] = acc
         acc += c
     stype = work.schema["_s"].dataType
-    ranked = rank_within(work, "_s", digest(seed, id_col), id_col, "_r", n_strata=len(counts))
+    ranked = rank_within(work, "_s", digest(seed, id_col) if order is None else order, id_col, "_r", n_strata=len(counts), largest=max((c for _, c in counts), default=0))
     ranked = small_join(ranked, _sizes_frame(spark, starts, stype, "_start").withColumnRenamed(
         "_stratum", "_s"), "_s", "left", rows=len(counts))
     return ranked.withColumn("fold_id", F.pmod(F.col("_start") + F.col("_r") - 1, F.lit(k)).cast("int")) \
@@ -158,25 +163,38 @@ def _finish(t: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return t.select("record_id", F.col("fold").cast("int").alias("fold"), "split", *extra, *CONTEXT)
 
 
+def _assigned(rec: DataFrame, assignment: DataFrame) -> DataFrame:
+    """The records with their assignment (unique record ids)."""
+    return rec.join(assignment, "record_id")
+
+
+def pair_holdout_ids(rec: DataFrame, seed: int) -> DataFrame:
+    """(record_id, split) of the pair holdout, without the context."""
+    return holdout_assign(rec.select("record_id", "label"), "record_id", "label", seed).drop("label")
+
+
 def split_pair_holdout(rec: DataFrame, seed: int) -> DataFrame:
-    a = holdout_assign(rec, "record_id", "label", seed)
-    return _finish(a.withColumn("fold", F.lit(0)))
+    return _finish(_assigned(rec, pair_holdout_ids(rec, seed)).withColumn("fold", F.lit(0)))
+
+
+def pair_folds(rec: DataFrame, seed: int, k: int = 5) -> DataFrame:
+    """The records with ``fold_id``, the fold that tests them."""
+    return _assigned(rec, kfold_assign(rec.select("record_id", "label"), "record_id", "label", seed, k).drop("label"))
 
 
 def split_pair_kfold(rec: DataFrame, seed: int, k: int = 5) -> DataFrame:
-    return _finish(kfold_table(kfold_assign(rec, "record_id", "label", seed, k), k))
+    return _finish(kfold_table(pair_folds(rec, seed, k), k))
 
 
-def _groups(rec: DataFrame) -> DataFrame:
-    """(_seq_key, sequence, group_label) per distinct sequence. Grouping and
-    the later join back to records use the SHA-1 of the sequence, so the
-    (long) sequence text crosses the shuffle once per group, not per row."""
-    g = _keyed(rec).groupBy("_seq_key").agg(F.any_value("sequence").alias("sequence"),
-                                      F.avg("label").alias("mean"),
-                                      F.countDistinct("label").alias("nunique"))
+def _groups(rec: DataFrame, seeds: list[int]) -> DataFrame:
+    """(_seq_key, _d0, _d1, .., group_label) per distinct sequence, with its
+    digest for each seed. Keys, digests and label counts only: the (long)
+    sequence text never crosses the shuffle."""
+    digests = [digest(seed, "sequence").alias(f"_d{i}") for i, seed in enumerate(seeds)]
+    g = _keyed(rec).groupBy("_seq_key", *digests).agg(F.avg("label").alias("mean"), F.countDistinct("label").alias("nunique"))
     cls = (F.when(F.col("nunique") > 1, "mixed").when(F.col("mean") >= 0.5, "positive")
            .otherwise("negative"))
-    return g.select("_seq_key", "sequence", cls.alias("group_label"))
+    return g.select("_seq_key", *[f"_d{i}" for i in range(len(seeds))], cls.alias("group_label"))
 
 
 def _keyed(rec: DataFrame) -> DataFrame:
@@ -184,32 +202,43 @@ def _keyed(rec: DataFrame) -> DataFrame:
     return rec.withColumn("_seq_key", F.coalesce(F.sha1(F.col("sequence")), F.lit("null")))
 
 
+def group_holdout_keys(rec: DataFrame, seed: int) -> DataFrame:
+    """(_seq_key, split) of the group holdout."""
+    return holdout_assign(_groups(rec, [seed, seed + 1]), "_seq_key", "group_label", seed, (F.col("_d0"), F.col("_d1"))).select("_seq_key", "split")
+
+
 def split_group_holdout(rec: DataFrame, seed: int) -> DataFrame:
     """Holdout on distinct sequences stratified by group class; records
     inherit their sequence's split (one join on the sequence key)."""
-    g = holdout_assign(_groups(rec), "sequence", "group_label", seed).select("_seq_key", "split")
-    return _finish(_keyed(rec).join(g, "_seq_key").withColumn("fold", F.lit(0)))
+    return _finish(_keyed(rec).join(group_holdout_keys(rec, seed), "_seq_key").withColumn("fold", F.lit(0)))
 
 
 def split_group_kfold(rec: DataFrame, seed: int, k: int = 5) -> DataFrame:
-    g = kfold_assign(_groups(rec), "sequence", "group_label", seed, k).select("_seq_key", "fold_id")
+    g = kfold_assign(_groups(rec, [seed]), "_seq_key", "group_label", seed, k, F.col("_d0")).select("_seq_key", "fold_id")
     return _finish(kfold_table(_keyed(rec).join(g, "_seq_key"), k))
 
 
-def split_leave_one_condition_out(rec: DataFrame) -> DataFrame:
-    """Conditions in code-point order; fold i tests condition i and
-    validates on condition (i + 1) mod n; needs >= 3 conditions."""
-    conds = rec.select("solvent").where(F.col("solvent").isNotNull()).distinct()
-    n = conds.count()
+def condition_ring(rec: DataFrame) -> DataFrame:
+    """(fold, heldout_test_solvent, heldout_val_solvent): the conditions
+    numbered in code-point order, each with the one that follows it in the ring.
+    Numbers come from ranges of the names, the ring from one join on fold and
+    fold + 1; no list of all names is made. Needs three conditions or more."""
+    names = rec.select("solvent").where(F.col("solvent").isNotNull()).distinct().withColumn("n", F.lit(1).cast("long"))
+    numbered = running_sums(names, [], "solvent", ["n"]).select("solvent", F.col("n_below").alias("fold"), F.col("n_total").alias("n"))
+    n = numbered.count()
     if n < 3:
         raise ValueError(f"holding out conditions takes three of them; the records have {n}")
-    # The ordered names stay in the plan: a one-row subquery over the distinct conditions.
-    names = conds.select(F.array_sort(F.collect_set("solvent"))).scalar()
-    f = F.col("fold")
-    test_name = F.element_at(names, f + 1)
-    val_name = F.element_at(names, F.pmod(f + 1, F.lit(n)) + 1)
-    t = rec.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    t = t.withColumn("heldout_test_solvent", test_name).withColumn("heldout_val_solvent", val_name)
+    after = numbered.select(F.pmod(F.col("fold") - 1, F.col("n")).alias("fold"), F.col("solvent").alias("heldout_val_solvent"))
+    return numbered.join(after, "fold").select(F.col("fold").cast("int").alias("fold"), F.col("solvent").alias("heldout_test_solvent"), "heldout_val_solvent")
+
+
+def split_leave_one_condition_out(rec: DataFrame) -> DataFrame:
+    """Conditions in code-point order; fold i tests condition i and
+    validates on condition (i + 1) mod n; needs >= 3 conditions. Every record
+    is in every fold, as the protocol has it."""
+    ring = condition_ring(rec)
+    n = ring.count()
+    t = small_join(rec.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), ring, "fold", rows=n)
     split = (F.when(F.col("solvent") == F.col("heldout_test_solvent"), "test")
              .when(F.col("solvent") == F.col("heldout_val_solvent"), "val").otherwise("train"))
     return _finish(t.withColumn("split", split), ["heldout_test_solvent", "heldout_val_solvent"])
@@ -263,5 +292,5 @@ def split_summary(t: DataFrame) -> DataFrame:
         F.avg(F.col("label").cast("double")).alias("positive_rate"),
         F.sum(F.col("label")).cast("long").alias("n_positive"),
         F.sum(1 - F.col("label")).cast("long").alias("n_negative"),
-        F.countDistinct("sequence").alias("n_unique_sequences"),
+        F.countDistinct(F.sha1(F.col("sequence"))).alias("n_unique_sequences"),
         F.countDistinct("solvent").alias("n_unique_solvents"))

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.conditions import condition_class_columns
 from ..operators import qc
 from ..operators.ingest import condition_candidates, detect_condition_columns, ingest_quality_score, q
+from ..operators.prepare import drop_missing
 from . import duck as d
 from . import fixtures as fx
 from . import oracle as o
@@ -155,7 +156,7 @@ add("normalize_label_strict",
     OBS + f"SELECT record_id, label_raw, CAST({d.normalize_label_strict('label_raw')} AS INTEGER) "
           f"AS y FROM obs")
 add("filter_missing",
-    lambda s, sf: _obs(s, sf).dropna(subset=["sequence", "solvent", "label"])
+    lambda s, sf: drop_missing(_obs(s, sf), ["sequence", "solvent", "label"])[0]
     .select("record_id", "solvent", "label"),
     OBS + "SELECT record_id, solvent, label FROM obs WHERE sequence IS NOT NULL AND solvent IS NOT "
           "NULL AND label IS NOT NULL")

@@ -142,7 +142,7 @@ def _dc(spark, sf):
 
 add("sort_conflicts", lambda s, sf: qc.sort_conflicts(_dc(s, sf)), B("long") + DUP_SQL)
 add("topk_examples",
-    lambda s, sf: qc.sort_conflicts(_dc(s, sf)).limit(30),
+    lambda s, sf: DatasetBuild.from_tables(s, sf).top_conflicts(30),
     B("long") + f"SELECT * FROM ({DUP_SQL}) t ORDER BY has_conflict DESC, has_duplicate DESC, "
                 f"n_records DESC, sequence_clean, solvent_name LIMIT 30")
 

@@ -137,7 +137,7 @@ add("union_folds",
 
 def _union_folds(spark, sf):
     """Stack per-fold tables (one projection per fold, then unionByName)."""
-    a = SP.kfold_assign(records(spark, sf), "record_id", "label", SEED, K)
+    a = SP.pair_folds(records(spark, sf), SEED, K)
     parts = []
     for i in range(K):
         split = (F.when(F.col("fold_id") == i, "test").when(F.col("fold_id") == (i + 1) % K, "val")
@@ -237,8 +237,7 @@ add("match_split_to_data", _match,
 
 def _semi(spark, sf):
     rec = records(spark, sf)
-    g = SP.holdout_assign(SP._groups(rec), "sequence", "group_label", SEED)
-    test_keys = g.where(F.col("split") == "test").select("_seq_key")
+    test_keys = SP.group_holdout_keys(rec, SEED).where(F.col("split") == "test").select("_seq_key")
     return SP._keyed(rec).join(test_keys, "_seq_key", "left_semi").select("record_id", "solvent", "label")
 
 
@@ -249,8 +248,7 @@ add("semi_join_groups", _semi,
 
 def _anti(spark, sf):
     rec = records(spark, sf)
-    t = SP.split_pair_holdout(rec, SEED)
-    held = t.where(F.col("split").isin("test", "val")).select("record_id")
+    held = SP.pair_holdout_ids(rec, SEED).where(F.col("split").isin("test", "val")).select("record_id")
     return rec.join(held, "record_id", "left_anti").select("record_id", "label")
 
 
@@ -258,5 +256,5 @@ add("anti_join_remainder", _anti,
     "WITH x AS (" + pair_holdout_sql() + ") SELECT record_id, label FROM x WHERE split = 'train'")
 add("set_difference",
     lambda s, sf: records(s, sf).select("record_id").exceptAll(
-        SP.split_pair_holdout(records(s, sf), SEED).where(F.col("split") != "train").select("record_id")),
+        SP.pair_holdout_ids(records(s, sf), SEED).where(F.col("split") != "train").select("record_id")),
     "WITH x AS (" + pair_holdout_sql() + ") SELECT record_id FROM x WHERE split = 'train'")
