@@ -3,10 +3,14 @@ audit is their union. Counting checks are single aggregates; id checks
 are anti joins, so nothing is collected per id."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import small_join
+
 AUDIT_SCHEMA = T.StructType([T.StructField("check", T.StringType(), False),
                              T.StructField("severity", T.StringType(), False),
                              T.StructField("detail", T.StringType(), True),
@@ -115,19 +119,90 @@ def audit_result_rows(results: DataFrame, errors: DataFrame | None = None,
     return out
 
 
+def counting_checks(long: DataFrame, expected: dict, tol: float = 1e-12) -> DataFrame:
+    """All checks that count, over one aggregate of the long table: rows,
+    repeated ids (``n``: rows too many), distinct sequences and conditions,
+    share of positives, labels other than 0 and 1. ``expected`` has the keys of
+    RELEASE_EXPECTED."""
+    y = F.col("y")
+    counted = long.agg(
+        F.count(F.lit(1)).alias("rows"), (F.count("observation_id") - F.countDistinct("observation_id")).alias("repeated"),
+        F.countDistinct(F.sha1(F.col("sequence_clean"))).alias("sequences"), F.countDistinct("solvent_name").alias("conditions"),
+        F.avg(y.cast("double")).alias("rate"), F.count_if(y.isNotNull() & ~y.isin(0, 1)).alias("odd"))
+
+    def differs(check: str, of: str, told: str, want) -> Column:
+        n = F.col(of)
+        return F.when(n != want, F.struct(F.lit(check).alias("check"), F.concat(F.lit(f"{told} differs: "), n.cast("string")).alias("detail"), n.cast("long").alias("n")))
+
+    def some(check: str, of: str, told: str) -> Column:
+        return F.when(F.col(of) > 0, F.struct(F.lit(check).alias("check"), F.lit(told).alias("detail"), F.col(of).cast("long").alias("n")))
+
+    off = F.when(F.abs(F.col("rate") - F.lit(expected["positive_rate"])) > tol, F.struct(
+        F.lit("positive_rate").alias("check"), F.format_string("share of positives differs: %.12f", F.col("rate")).alias("detail"), F.lit(None).cast("long").alias("n")))
+    found = F.array(
+        differs("row_count", "rows", "record count", expected["n_records"]), some("unique_key", "repeated", "values of observation_id repeat"),
+        differs("distinct_sequences", "sequences", "sequence count", expected["n_unique_sequences"]),
+        differs("distinct_conditions", "conditions", "condition count", expected["n_unique_solvents"]), off, some("binary_label", "odd", "y has values other than 0 and 1"))
+    each = counted.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    return each.select("x.check", F.lit("error").alias("severity"), "x.detail", "x.n")
+
+
+def split_checks(long: DataFrame, splits: dict[str, DataFrame], data_key: str = "observation_id") -> DataFrame:
+    """The checks of :func:`audit_split_refs` for many split tables: no rows, no
+    id column, unknown ids. All tables go through one anti join and one
+    aggregate; the list of tables is the caller's."""
+    spark = long.sparkSession
+    columns = {name: split_id_column(df.columns) for name, df in splits.items()}
+    lacking = _rows(spark, [("split_refs", "error", f"no id column among {splits[n].columns} of split {n}", None) for n, c in columns.items() if c is None])
+    named = {n: c for n, c in columns.items() if c is not None}
+    if not named:
+        return lacking
+    ids = reduce(DataFrame.unionByName, [splits[n].select(F.lit(n).alias("_split"), F.col(c).cast("string").alias("_id")) for n, c in named.items()])
+    # Counted per (table, id) before the join: ids repeat over the folds of a table.
+    distinct = ids.groupBy("_split", "_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = long.select(F.col(data_key).cast("string").alias("_id"), F.lit(True).alias("_known")).distinct()
+    seen = distinct.join(known, "_id", "left").groupBy("_split").agg(F.sum("_n").alias("rows"), F.count_if(F.col("_known").isNull()).alias("n"))
+    want = spark.createDataFrame([(n,) for n in named], "_split string")
+    told = small_join(seen.withColumnRenamed("_split", "_s"), want, F.col("_s") == F.col("_split"), "right", rows=len(named))
+    empty = _finding(told.where(F.col("rows").isNull()), "split_refs", "error", F.concat(F.lit("no rows in split "), F.col("_split")), F.lit(0))
+    bad = _finding(told.where(F.col("n") > 0), "split_refs", "error",
+                   F.concat(F.lit("ids that the data lack: "), F.col("n").cast("string"), F.lit(" in split "), F.col("_split")), F.col("n"))
+    return lacking.unionByName(empty).unionByName(bad)
+
+
+def json_checks(validated: DataFrame) -> DataFrame:
+    """A finding for each document that :func:`assaykit.sources.files.scan_json_validate` found broken."""
+    return _finding(validated.where(~F.col("valid")), "json", "error", F.concat(F.lit("no valid JSON: "), F.col("file")), F.lit(None))
+
+
+def release_audit(long: DataFrame, splits: dict[str, DataFrame], results: DataFrame, errors: DataFrame, files: DataFrame, documents: DataFrame,
+                  expected: dict | None = None, n_results: int = EXPECTED_RESULT_ROWS) -> DataFrame:
+    """The whole release gate as one table of findings; a release passes if it
+    has no row of severity error. ``files`` are the findings of
+    :func:`audit_required_files`, ``documents`` validated JSON documents. A
+    long table that lacks a column is not counted further."""
+    columns = audit_required_columns(long)
+    parts = [files, columns, json_checks(documents), audit_result_rows(results, errors, n_results)]
+    if not set(REQUIRED_LONG_COLUMNS) - set(long.columns):
+        parts += [counting_checks(long, expected or RELEASE_EXPECTED), split_checks(long, splits)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def audit_required_files(spark: SparkSession, root: str, required: list[str]) -> DataFrame:
-    """Required relative paths must exist (error) and be non-empty
-    (warning); one listing of the folder via the binaryFile source
-    (contents are not read for the length column)."""
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-               .select(F.regexp_replace("path", "^.*?\\Q" + root.rstrip("/").split("://")[-1] + "\\E/", "")
-                       .alias("rel"), F.col("length")))
-    # A table written by Spark is a folder of parts under the required name.
-    listing = listing.groupBy(F.regexp_replace("rel", r"(\.[a-z]+)/.*$", "$1").alias("rel")).agg(F.sum("length").alias("length"))
-    want = spark.createDataFrame([(r,) for r in required], "rel string")
-    j = want.join(listing, "rel", "left")
-    miss = _finding(j.where(F.col("length").isNull()), "required_files", "error",
-                    F.concat(F.lit("file not found: "), F.col("rel")), F.lit(None))
-    empty = _finding(j.where(F.col("length") == 0), "required_files", "warning",
-                     F.concat(F.lit("file without content: "), F.col("rel")), F.lit(0))
-    return miss.unionByName(empty)
+    """Required relative paths must exist (error) and be non-empty (warning).
+
+    The file system is asked for each path of the (short) list: Spark's file
+    sources leave empty files out, so a scan cannot tell one from a missing
+    one. A table written by Spark is a folder of parts under the required name
+    and counts by the sum of their lengths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for rel in required:
+        path = hadoop.Path(f"{root.rstrip('/')}/{rel}")
+        fs = path.getFileSystem(settings)
+        if not fs.exists(path):
+            found.append(("required_files", "error", f"file not found: {rel}", None))
+        elif fs.getContentSummary(path).getLength() == 0:
+            found.append(("required_files", "warning", f"file without content: {rel}", 0))
+    return _rows(spark, found)

@@ -150,9 +150,16 @@ OBS = f"WITH obs AS ({fx.obs_sql()}) "
 add("condition_norm",
     lambda s, sf: _obs(s, sf).select("record_id", X.lower_trim("solvent").alias("condition_norm")),
     OBS + "SELECT record_id, lower(trim(solvent)) AS condition_norm FROM obs")
-add("normalize_label_strict",
-    lambda s, sf: _obs(s, sf).select("record_id", "label_raw",
-                                     L.normalize_label_strict("label_raw").alias("y")),
+
+
+def _strict(spark, sf):
+    """Strict labels; one that is not understood raises, with examples."""
+    out = _obs(spark, sf).select("record_id", "label_raw", L.normalize_label_strict("label_raw").alias("y"))
+    L.require_labels(out, "label_raw", "y", "record_id")
+    return out
+
+
+add("normalize_label_strict", _strict,
     OBS + f"SELECT record_id, label_raw, CAST({d.normalize_label_strict('label_raw')} AS INTEGER) "
           f"AS y FROM obs")
 add("filter_missing",

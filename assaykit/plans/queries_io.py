@@ -186,7 +186,7 @@ def _mojibake(spark, sf):
     docs = fx.read(spark, sf, "documents").select("doc_id", "text")
     fixed = repair_column(docs.withColumn("text_fixed", F.col("text")), "text_fixed")
     return fixed.select("doc_id", (F.col("text_fixed") != F.col("text")).alias("changed"),
-                        F.length("text_fixed").alias("n_chars_fixed"))
+                        F.length("text_fixed").alias("n_chars_fixed"), "text_fixed")
 
 
 add("mojibake_repair", _mojibake)
@@ -258,6 +258,56 @@ add("audit_result_rows", lambda s, sf: A.audit_result_rows(metric_results(s, sf)
       f"(SELECT DISTINCT model FROM ({fx.scores_sql()}) s2) m) t WHERE n <> {A.EXPECTED_RESULT_ROWS}")
 
 
+# Expected numbers of the gate below. They differ from those of the tables, but for the conditions: every count is a finding.
+GATE_EXPECTED = E | {"n_unique_solvents": 4}
+
+
+def _release_gate(spark, sf):
+    """The whole audit over a release folder written from the given tables, with
+    faults planted: repeated ids and odd labels in the long table, a split with
+    foreign ids, an empty split, a split without ids, a missing and an empty
+    file, a broken document, too few results and an error row."""
+    root = _inventory_root(spark, sf)
+    spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/notes.md")
+    lg = materialize(_long(spark, sf).select("observation_id", "sequence_clean", "solvent_name", "y", "source_row_index"), "gate_long")
+    again = lg.where("source_row_index % 100 = 0").withColumn("y", F.when(F.col("source_row_index") % 200 == 0, 2).otherwise(F.col("y")))
+    faulty = lg.unionByName(again.where("solvent_name = 'Lot note'")).drop("source_row_index")
+    ids = lg.select("observation_id")
+    splits = {"own": ids, "foreign": ids.unionByName(fx.obs(spark, sf).select(F.col("record_id").alias("observation_id"))),
+              "empty": ids.limit(0), "nameless": lg.select(F.col("y").alias("fold"))}
+    base = _json_files(spark, sf)
+    documents = IO.scan_json_validate(spark, [f"{base}/summary.json", f"{base}/broken.json"]).withColumn("file", F.regexp_extract("file", r"([a-z]+\.json)", 1))
+    files = A.audit_required_files(spark, root, ["data/processed/condition_summary.csv", "notes.md", "absent.csv"])
+    errors = spark.createDataFrame([("pair-stratified", "no fit")], "protocol string, error string")
+    return A.release_audit(faulty, splits, metric_results(spark, sf), errors, files, documents, GATE_EXPECTED)
+
+
+def _release_gate_sql() -> str:
+    def row(check, severity, detail, n):
+        return f"SELECT '{check}' AS \"check\", '{severity}' AS severity, CAST({detail} AS VARCHAR) AS detail, CAST({n} AS BIGINT) AS n"
+    counted = [("row_count", "record count", "r", E["n_records"]), ("distinct_sequences", "sequence count", "s", E["n_unique_sequences"]),
+               ("distinct_conditions", "condition count", "c", GATE_EXPECTED["n_unique_solvents"])]
+    parts = [row(k, "error", f"'{t} differs: ' || CAST({v} AS VARCHAR)", v) + f" FROM a WHERE {v} <> {w}" for k, t, v, w in counted]
+    parts += [row("unique_key", "error", "'values of observation_id repeat'", "dup") + " FROM a WHERE dup > 0",
+              row("binary_label", "error", "'y has values other than 0 and 1'", "odd") + " FROM a WHERE odd > 0",
+              row("positive_rate", "error", "'share of positives differs: ' || printf('%.12f', rate)", "NULL") + f" FROM a WHERE abs(rate - {E['positive_rate']!r}) > 1e-12",
+              row("split_refs", "error", "'ids that the data lack: ' || CAST(n AS VARCHAR) || ' in split foreign'", "n") + " FROM x WHERE n > 0",
+              row("split_refs", "error", "'no rows in split empty'", "0"), row("split_refs", "error", "'no id column among [''fold''] of split nameless'", "NULL"),
+              row("required_files", "error", "'file not found: absent.csv'", "NULL"), row("required_files", "warning", "'file without content: notes.md'", "0"),
+              row("json", "error", "'no valid JSON: broken.json'", "NULL"), row("result_errors", "error", "'the error table has rows'", "1"),
+              row("result_rows", "warning", f"'result table has ' || CAST(n AS VARCHAR) || ' rows instead of {A.EXPECTED_RESULT_ROWS}'", "n")
+              + f" FROM (SELECT count(*) AS n FROM (SELECT DISTINCT fold, model FROM ({fx.scores_sql()}) s)) t WHERE n <> {A.EXPECTED_RESULT_ROWS}"]
+    return (B("long") + ", f AS (SELECT observation_id, sequence_clean, solvent_name, y FROM long UNION ALL SELECT observation_id, sequence_clean, solvent_name, "
+            "CASE WHEN source_row_index % 200 = 0 THEN 2 ELSE y END FROM long WHERE source_row_index % 100 = 0 AND solvent_name = 'Lot note'), "
+            "a AS (SELECT count(*) AS r, count(observation_id) - count(DISTINCT observation_id) AS dup, count(DISTINCT sequence_clean) AS s, "
+            "count(DISTINCT solvent_name) AS c, avg(CAST(y AS DOUBLE)) AS rate, count_if(y NOT IN (0, 1)) AS odd FROM f), "
+            f"x AS (SELECT count(DISTINCT record_id) AS n FROM ({fx.obs_sql()}) o WHERE record_id NOT IN (SELECT observation_id FROM long)) "
+            + " UNION ALL ".join(parts))
+
+
+add("release_gate", _release_gate, _release_gate_sql())
+
+
 def _required_files(spark, sf):
     root = _inventory_root(spark, sf)
     req = ["data/processed/condition_summary.csv", "data/processed/long.csv",
@@ -265,7 +315,9 @@ def _required_files(spark, sf):
     return A.audit_required_files(spark, root, req)
 
 
-add("audit_required_files", _required_files)
+add("audit_required_files", _required_files,
+    _f("required_files", "error", "'file not found: data/processed/long.csv'", "NULL") + " UNION ALL "
+    + _f("required_files", "error", "'file not found: README.md'", "NULL"))
 
 # ---------------------------------------------------------------------------
 # 2.9 models (train on the pair-stratified train split, score its test split)

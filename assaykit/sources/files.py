@@ -10,6 +10,8 @@
 """
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,41 +40,82 @@ def with_scan_row_index(scan: DataFrame, name: str = "source_row_index") -> Data
                     (F.col("_off") + F.col("_m") - F.col("_m0")).cast("long").alias(name))
 
 
-def read_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
+def read_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True) -> list[str]:
     """The header row of a CSV file or folder, as written (duplicates kept)."""
     first = (spark.read.option("header", False).option("sep", sep).option("encoding", encoding)
-             .options(**CSV_QUOTING).option("multiLine", True).csv(path).limit(1).collect())
+             .options(**CSV_QUOTING).option("multiLine", multi_line).csv(path).limit(1).collect())
     return [("" if v is None else v) for v in first[0]] if first else []
 
 
 def scan_csv_raw(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-                 repair_headers: bool = True) -> DataFrame:
+                 repair_headers: bool = True, multi_line: bool = True) -> DataFrame:
     """All-string read with role-normalised, deduplicated headers and
     ``source_row_index``. Empty cells are null (as the null tokens would
-    make them)."""
-    header = read_header(spark, path, sep, encoding)
+    make them). A file is one task's work while cells may hold line ends;
+    ``multi_line=False`` lets Spark split it."""
+    header = read_header(spark, path, sep, encoding, multi_line)
     names = dedupe_headers([normalize_header(h) for h in header]) if repair_headers else header
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep)
-          .option("encoding", encoding).options(**CSV_QUOTING).option("multiLine", True).csv(path))
+          .option("encoding", encoding).options(**CSV_QUOTING).option("multiLine", multi_line).csv(path))
     df = with_scan_row_index(df)
     return df.toDF(*names, "source_row_index")
 
 
+#: Readings that :func:`choose_read` tries, in order of preference. Encodings that this Spark refuses are passed over.
+ENCODINGS = ["UTF-8", "GB18030", "GBK", "ISO-8859-1"]
+SEPARATORS = [",", "\t", ";"]
+
+
+def choose_read(spark: SparkSession, path: str, encodings: list[str] | None = None, separators: list[str] | None = None,
+                multi_line: bool = True) -> tuple[DataFrame, dict]:
+    """The reading of a CSV file with the highest score (see
+    :func:`assaykit.operators.ingest.ingest_quality_score`), the first of equal
+    ones, and what was chosen: encoding, sep, n_cols, score.
+
+    A reading that fails, or in which bytes cannot be decoded, is out. Headers
+    are compared first: a reading that has one column is scored by that alone,
+    and the rows are read for the others only, in one aggregate each."""
+    from ..operators.ingest import ingest_quality_score
+    best, told = None, {"score": float("-inf")}
+    for encoding in encodings or ENCODINGS:
+        for sep in separators or SEPARATORS:
+            try:
+                header = read_header(spark, path, sep, encoding, multi_line)
+                if not header or any("\ufffd" in h for h in header):
+                    continue
+                df = scan_csv_raw(spark, path, sep, encoding, multi_line=multi_line)
+                score = float(len(header))
+                if len(header) > 1:
+                    cells = df.drop("source_row_index")
+                    broken = F.max(F.concat_ws("", *[F.col(f"`{c}`") for c in cells.columns]).contains("\ufffd"))
+                    if cells.agg(broken).first()[0]:
+                        continue
+                    score = ingest_quality_score(cells.toDF(*header) if len({*header}) == len(header) else cells).first()["score"]
+            except (PySparkException, Py4JJavaError):
+                continue
+            if score > told["score"]:
+                best, told = df, {"encoding": encoding, "sep": sep, "n_cols": len(header), "score": score}
+    if best is None:
+        raise ValueError(f"no reading of {path} succeeds")
+    return best, told
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).options(**CSV_QUOTING).csv(path)
 
 
-def scan_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Re-read of a processed table with an explicit schema."""
+def scan_csv_typed(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Re-read of a processed table with an explicit schema. Large files are
+    split over tasks, unless ``multi_line`` says that cells hold line ends."""
     return (spark.read.schema(schema).option("header", True).options(**CSV_QUOTING)
-            .option("multiLine", True).option("mode", "FAILFAST").csv(path))
+            .option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
 
 
-def scan_split_file(spark: SparkSession, path: str) -> DataFrame:
+def scan_split_file(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Split assignments: needs record_id and split; fold defaults to 0;
     ids are strings."""
-    df = spark.read.option("header", True).options(**CSV_QUOTING).option("multiLine", True).csv(path)
+    df = spark.read.option("header", True).options(**CSV_QUOTING).option("multiLine", multi_line).csv(path)
     missing = {"record_id", "split"} - set(df.columns)
     if missing:
         raise ValueError(f"Split file {path} must contain record_id and split columns.")
@@ -102,9 +145,9 @@ def protocol_from_name(stem) -> "F.Column":
     return e
 
 
-def scan_split_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def scan_split_files(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
     """Several split files at once with their protocol from the name."""
-    df = spark.read.option("header", True).options(**CSV_QUOTING).option("multiLine", True).csv(paths)
+    df = spark.read.option("header", True).options(**CSV_QUOTING).option("multiLine", multi_line).csv(paths)
     stem = split_name(F.col("_metadata.file_path"))
     return df.select("*", stem.alias("split_file"), protocol_from_name(stem).alias("protocol"))
 
@@ -131,13 +174,20 @@ def scan_json_validate(spark: SparkSession, paths: list[str]) -> DataFrame:
     return found.select(F.coalesce("file", "given").alias("file"), F.coalesce("ok", F.lit(False)).alias("valid"))
 
 
-# MIME type by suffix; description by path prefix.
+# MIME type by suffix.
 MIME_BY_SUFFIX = [(".csv", "text/csv"), (".json", "application/json"), (".sha256", "text/plain"),
                   (".md", "text/markdown"), (".py", "text/x-python"), (".tex", "text/x-tex")]
 
 
-def file_hash_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, rel, size, sha256, encoding_format) of every file under root.
+#: What a file is, by the folder it lies in; the first prefix that fits counts.
+DESCRIPTIONS = [("splits/", "Split assignments or their manifest."), ("results/", "Result of the reference models."),
+                ("scripts/", "Program of the release."), ("data/metadata/", "Metadata, column dictionary or checksums."),
+                ("data/processed/", "Processed table or quality report."), ("data/raw/", "Raw wide table."), ("", "File of the release.")]
+
+
+def file_hash_inventory(spark: SparkSession, root: str, pattern: str = "*", descriptions: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(path, rel, size, sha256, encoding_format, description) of every file
+    under root; ``descriptions`` are (path prefix, text) in order of priority.
     Hashing runs in the tasks that read the bytes (binaryFile source)."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
           .option("pathGlobFilter", pattern).load(root))
@@ -146,8 +196,11 @@ def file_hash_inventory(spark: SparkSession, root: str, pattern: str = "*") -> D
     mime = F.lit("application/octet-stream")
     for suffix, m in reversed(MIME_BY_SUFFIX):
         mime = F.when(low.endswith(suffix), F.lit(m)).otherwise(mime)
+    told = F.lit(None).cast("string")
+    for prefix, text in reversed(descriptions or DESCRIPTIONS):
+        told = F.when(F.col("rel").startswith(prefix), F.lit(text)).otherwise(told)
     return df.select(F.col("path"), rel.alias("rel"), F.col("length").alias("size"),
-                     F.sha2(F.col("content"), 256).alias("sha256"), mime.alias("encoding_format"))
+                     F.sha2(F.col("content"), 256).alias("sha256"), mime.alias("encoding_format")).withColumn("description", told)
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
