@@ -2,18 +2,21 @@
 an earlier place of the same one, also has, the later copy is deleted.
 DataFrame functions only.
 
-A run is consecutive lines with ``MIN_RUN_WORDS`` words or more in total; two
-lines are equal if their words are. Lines without words are passed over: they
+A run is consecutive lines with ``MIN_RUN_WORDS`` words or more in total, or a
+single line with ``MIN_LINE_WORDS`` or more; two lines are equal if their words
+are. Lines without words are passed over: they
 neither match nor part a run, and go if they lie inside a deleted run.
 
 Method. From each line, the shortest windows of that many words are taken
-forwards and backwards. The least line hash of a window is its fingerprint, so
+forwards and backwards, and the line alone if it has words enough. The least line hash of a window is its fingerprint, so
 two copies of a run select the same fingerprints. Fingerprints found at one
 place only are dropped; the windows of the others are joined by fingerprint and
 window content with the place where that content is first. Forward and
 backward windows together reach both ends of every repeated run, so the match
 is extended to its full length both ways, and every window but the first goes.
-Nothing is paired within a group: each window meets the first place alone.
+Nothing is paired within a group: each window meets the first place alone. A
+line that a third of all documents have is a hot key of both joins; the small
+sides are written tables, so Spark splits the large side at run time.
 
 Order is by doc_id (nulls first), then text hash. Defined cases: a null text
 stays null; an empty text stays empty; a document that is all repeated becomes
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from assaykit.llm.common import running, whole
 from assaykit.session import materialize
 
-MIN_RUN_WORDS = 30
+MIN_RUN_WORDS, MIN_LINE_WORDS = 30, 8
 
 _WINDOW = "array<struct<fp:bigint,at:int,key:bigint,first:int,last:int>>"
 
@@ -64,7 +67,8 @@ def windows(docs: DataFrame, text: str, min_words: int) -> DataFrame:
     sums, lines, k = F.col("sums"), F.col("lines"), F.size("lines")
     ahead = F.filter(F.transform(lines, lambda _, j: F.struct(j.alias("a"), (_search(sums, j + 1, k + 1, F.get(sums, j) + min_words) - 1).alias("b"))), lambda w: w["b"] < k)
     back = F.filter(F.transform(lines, lambda _, j: F.struct((_search(sums, F.lit(0), j + 1, F.get(sums, j + 1) - min_words + 1) - 1).alias("a"), j.alias("b"))), lambda w: w["a"] >= 0)
-    df = df.withColumn("w", F.array_distinct(F.concat(ahead, back)))
+    alone = F.filter(F.transform(lines, lambda x, j: F.when(x["n"] >= min(MIN_LINE_WORDS, min_words), F.struct(j.alias("a"), j.alias("b")))), lambda w: w.isNotNull())
+    df = df.withColumn("w", F.array_distinct(F.concat(ahead, back, alone)))
     line = lambda i: F.get(lines, i)
 
     def told(w: Column) -> Column:
@@ -82,11 +86,12 @@ def repeated(docs: DataFrame, text: str, min_words: int) -> DataFrame:
     windows (first, last) to delete."""
     found = materialize(windows(docs, text, min_words), "windows")
     spot = F.xxhash64("d", "x", "at")
-    often = found.groupBy("fp").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("fp")
+    often = materialize(found.groupBy("fp").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("fp"), "often")
     # Written, so that the next grouping deals by fingerprint and content after its own partial sums.
     some = materialize(found.join(often, "fp", "left_semi"), "repeated")
     place = F.struct("d", "x", "first")
     origin = some.groupBy("fp", "key").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where(~F.col("origin").eqNullSafe(F.col("end"))).select("fp", "key", "origin")
+    origin = materialize(origin, "origin")
     later = some.join(origin, ["fp", "key"]).where(~place.eqNullSafe(F.col("origin")))
     return later.groupBy("d", "x").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 

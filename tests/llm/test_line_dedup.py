@@ -6,7 +6,8 @@ A, B, C = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 40), ("v", 1
 
 
 def brute(docs, least):
-    """docs: (order, text) in order. Lines that lie in a run found before."""
+    """docs: (order, text) in order. Lines that lie in a run found before, a
+    single line of MIN_LINE_WORDS words being a run as well."""
     seen, out = {}, {}
     for key, text in docs:
         told = [(i, tuple(words(x))) for i, x in enumerate((text or "").split("\n"))]
@@ -16,12 +17,12 @@ def brute(docs, least):
             n = 0
             for b in range(a, len(told)):
                 n += len(told[b][1])
-                if n >= least:
+                if n >= least or a == b and n >= line_dedup.MIN_LINE_WORDS:
                     run = tuple(x[1] for x in told[a:b + 1])
                     if seen.setdefault(run, (key, a)) != (key, a):
                         gone.update(range(told[a][0], told[b][0] + 1))
-                    if n > 4 * least + 200:
-                        break
+                if n > 4 * least + 200:
+                    break
         out[key, text] = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
     return out
 
@@ -51,3 +52,10 @@ def test_odd_rows(spark):
     new = {r.doc_id: (r.text, r.n_chars) for r in out.where("doc_id >= 100 or doc_id = 1").collect()}
     assert new == {100: (A, len(A)), 101: ("x", 1), 1: (None, None)}
     assert line_dedup.report(df.limit(0)).count() == 0
+
+
+def test_single_lines(spark):
+    """A line of eight words goes at its later places, one of seven stays."""
+    eight, seven = "one two three four five six seven eight", "a b c d e f g"
+    df = spark.createDataFrame([(1, f"{eight}\n{seven}\nx"), (2, f"y\n {eight}\n{seven}"), (3, f"{eight} nine\n{seven}\n{eight}\nz")], "doc_id long, text string")
+    assert [r.text for r in line_dedup.report(df).orderBy("doc_id").collect()] == [f"{eight}\n{seven}\nx", f"y\n{seven}", f"{eight} nine\n{seven}\nz"]
