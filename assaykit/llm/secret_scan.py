@@ -100,7 +100,8 @@ def scan(docs: DataFrame, text: str = "text", owner: Column | None = None, repo:
     # Written once: row numbers are fixed from here on, and a lost executor re-reads the small table, not the texts.
     base = materialize(candidates(marked, "text", ("doc_id", "owner", "repo")).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = base.where(F.size("spans") > 0).select("row", "owner", "repo", F.posexplode("spans").alias("i", "s")).select("row", "owner", "repo", "i", F.col("s.value").alias("value"))
-    verdict = ownership(each)
+    # Written, so that the join of a value that fills a third of all rows is split at run time.
+    verdict = materialize(ownership(each), "owners")
     per_row = (each.join(verdict.select("value", "example"), "value")
                .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "example"))).alias("said")))
     both = base.join(per_row, "row", "left")
