@@ -10,13 +10,13 @@ it, so that the text need not be read.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.conditions import PHYSICAL_COLUMNS, TEMPLATE_NOTE, condition_class_columns
-from ..functions.sequence import (PEPTIDE_FEATURES, peptide_count_columns,
-                                  peptide_descriptor_columns)
+from ..functions.sequence import (PEPTIDE_FEATURES, is_canonical, noncanonical_symbols,
+                                  peptide_count_columns, peptide_descriptor_columns)
 from ..functions.text import missing_sequence_flag, sha1_hex, slugify
 from ..session import materialize
 from .ingest import INDEX_COL, KEY
@@ -154,6 +154,23 @@ def top_conflicts(long: DataFrame, clean: DataFrame | None = None, n: int = 30)
     return sort_conflicts(top.join(member_lists(members), ["_k", "solvent_name"]).select(*CONFLICT_COLUMNS, "observation_ids"))
 
 
+def report_examples(long: DataFrame, clean: DataFrame, unknown: DataFrame, n: int = 30) -> DataFrame:
+    """The first ``n`` cases of each kind that the report lists, as (kind,
+    position, subject, detail): sequences that are not canonical, in row order,
+    with their other symbols; conflicts, in the order of :func:`sort_conflicts`,
+    with their labels; labels that are not understood, in row and column order.
+    Each kind is a top-n, so no more than ``n`` rows of it are numbered."""
+    def first(df: DataFrame, kind: str, order: list, subject: Column, detail: Column) -> DataFrame:
+        top = df.select(F.lit(kind).alias("kind"), subject.cast("string").alias("subject"), detail.alias("detail"), F.struct(*order).alias("_o")).orderBy("_o").limit(n)
+        return top.select("kind", F.row_number().over(Window.partitionBy("kind").orderBy("_o")).alias("position"), "subject", "detail")
+
+    seqs = distinct_by_key(clean, "sequence_id", [INDEX_COL, "sequence_clean"]).where(~is_canonical("sequence_clean"))
+    groups = named_groups(long, clean).where("has_conflict = 1")
+    return (first(seqs, "noncanonical", [F.col(INDEX_COL)], F.col("sequence_id"), noncanonical_symbols("sequence_clean"))
+            .unionByName(first(groups, "conflict", [-F.col("n_records"), F.col("sequence_clean"), F.col("solvent_name")], F.col("solvent_name"), F.col("labels_observed")))
+            .unionByName(first(unknown, "unknown_label", [F.col("row_index"), F.col("solvent_column")], F.col("row_index"), F.concat_ws(": ", "solvent_column", "raw_value"))))
+
+
 def distinct_by_key(df: DataFrame, key: str, cols: list[str], order_col: str = INDEX_COL) -> DataFrame:
     """First row (lowest ``order_col``, unique) per key, deterministic. Only
     key and row number are grouped; the other columns are read for the rows

@@ -88,6 +88,9 @@ class DatasetBuild:
     def top_conflicts(self, n: int = 30) -> DataFrame:
         return qc.top_conflicts(self.cells, self.keyed, n)
 
+    def report_examples(self, n: int = 30) -> DataFrame:
+        return qc.report_examples(self.cells, self.keyed, self.unknown_label_values(), n)
+
     @cached_property
     def per_sequence(self) -> DataFrame:
         """One row per sequence, numbers only, written: wide rows, labelled

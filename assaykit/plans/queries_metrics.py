@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import qc
+from . import duck as d
 from . import fixtures as fx
 from . import oracle as o
 from .build import DatasetBuild
@@ -147,6 +148,20 @@ add("topk_examples",
                 f"n_records DESC, sequence_clean, solvent_name LIMIT 30")
 
 
+def _top(kind: str, src: str, order: str, subject: str, detail: str) -> str:
+    return (f"SELECT '{kind}' AS kind, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position, CAST({subject} AS VARCHAR) AS subject, "
+            f"{detail} AS detail FROM ({src}) t QUALIFY row_number() OVER (ORDER BY {order}) <= 30")
+
+
+add("report_examples", lambda s, sf: DatasetBuild.from_tables(s, sf).report_examples(),
+    B("long", "feats") + ", firsts AS (SELECT sequence_id AS sid, min(source_row_index) AS row FROM clean GROUP BY 1) "
+    + " UNION ALL ".join("(" + q + ")" for q in (
+        _top("noncanonical", "SELECT * FROM feats JOIN firsts ON sid = sequence_id WHERE NOT is_canonical_aa", "row", "sequence_id", "noncanonical_symbols"),
+        _top("conflict", f"SELECT * FROM ({DUP_SQL}) g WHERE has_conflict = 1", "n_records DESC, sequence_clean, solvent_name", "solvent_name", "labels_observed"),
+        _top("unknown_label", f"SELECT * FROM cells WHERE label_raw IS NOT NULL AND {d.normalize_label('label_raw')} IS NULL",
+             "source_row_index, solvent_name", "source_row_index", "solvent_name || ': ' || label_raw"))))
+
+
 def _sorted_distinct(spark, sf):
     return fx.obs(spark, sf).select("solvent").distinct().orderBy("solvent")
 
