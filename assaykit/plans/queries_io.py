@@ -52,8 +52,23 @@ def _headers(spark, sf):
     return spark.createDataFrame(rows, "position int, header string, normalized string, deduped string")
 
 
-add("header_normalize", lambda s, sf: _headers(s, sf).select("position", "header", "normalized"))
-add("header_dedupe", lambda s, sf: _headers(s, sf).select("position", "normalized", "deduped"))
+# What the header rules have to give, written out: (header, role or name, name without duplicates).
+HEADERS = [(fx.H_SEQUENCE, "sequence", "sequence"), (fx.H_DIFF_PRED, "difficulty_prediction", "difficulty_prediction"),
+           (fx.H_DIFF_SCORE, "difficulty_score", "difficulty_score"), (fx.H_MW, "mw", "mw"), (fx.H_QUANTITY, "quantity_delivered", "quantity_delivered"),
+           (fx.H_HPLC, "hplc_result", "hplc_result"), *[(c, c, c) for c in fx.CONDITION_HEADERS], ("Source", "Source", "Source"), ("Source ", "Source", "Source__dup1")]
+
+
+def values_sql(names: list[str], rows: list[tuple]) -> str:
+    """A table of literal rows; a number is an INTEGER, a truth value a BOOLEAN."""
+    def one(v):
+        return str(v).upper() if isinstance(v, bool) else f"CAST({v} AS INTEGER)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+
+add("header_normalize", lambda s, sf: _headers(s, sf).select("position", "header", "normalized"),
+    values_sql(["position", "header", "normalized"], [(i, h, n) for i, (h, n, _) in enumerate(HEADERS)]))
+add("header_dedupe", lambda s, sf: _headers(s, sf).select("position", "normalized", "deduped"),
+    values_sql(["position", "normalized", "deduped"], [(i, n, u) for i, (_, n, u) in enumerate(HEADERS)]))
 
 
 def _roles(spark, sf):
@@ -64,7 +79,9 @@ def _roles(spark, sf):
     return spark.createDataFrame(rows, "table_name string, role string, column_name string")
 
 
-add("resolve_column_role", _roles)
+add("resolve_column_role", _roles, values_sql(["table_name", "role", "column_name"], [
+    ("obs", "sequence", "sequence"), ("obs", "condition", "solvent"), ("obs", "label", "label"), ("obs", "record_id", "record_id"),
+    ("long", "sequence", "sequence_clean"), ("long", "condition", "solvent_name"), ("long", "label", "y"), ("long", "record_id", "observation_id")]))
 
 TYPED = T.StructType([T.StructField("record_id", T.StringType()),
                       T.StructField("solvent", T.StringType()),
@@ -132,7 +149,8 @@ def _json_validate(spark, sf):
                     F.regexp_extract("file", r"/([^/]+\.json)/", 1).alias("document"), "valid")
 
 
-add("scan_json_validate", _json_validate)
+add("scan_json_validate", _json_validate, values_sql(["name", "document", "valid"], [
+    ("", "summary.json", True), ("", "splits_manifest.json", True), ("", "broken.json", False)]))
 
 
 def _inventory_root(spark, sf):
@@ -170,7 +188,7 @@ def _sink_table(spark, sf):
     return spark.read.parquet(path)
 
 
-add("sink_table", _sink_table)
+add("sink_table", _sink_table, B("long") + "SELECT * FROM long", ["difficulty_score_num", "mw_num", "quantity_total_mg", "hplc_percent"])
 
 
 def _sink_json(spark, sf):
