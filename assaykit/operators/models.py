@@ -225,6 +225,8 @@ class FoldFeatures:
 
 #: Fits that run side by side; most of a fit's jobs are short and leave cores idle.
 PARALLEL_FITS = 8
+#: A fit that fails, say as an executor was lost once too often, is tried again before it is an error row.
+ATTEMPTS = 2
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, p: ModelParams,
@@ -315,12 +317,15 @@ def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams |
                 return [], [(proto, fold, "__split__", "no train rows or no test rows among the records")]
             features = FoldFeatures(train, test)
             for m in todo:
-                try:
-                    out = features.fit(m, params, fits) if m in MODEL_MODES else fit_predict(m, train, test, params)
-                    # Written here, so that an error at scoring time is this model's own.
-                    done[m] = ledger.write(proto, fold, m, out)
-                except Exception as e:  # one failing model leaves an error row and the rest
-                    errors.append((proto, fold, m, repr(e)))
+                for left in reversed(range(ATTEMPTS)):
+                    try:
+                        out = features.fit(m, params, fits) if m in MODEL_MODES else fit_predict(m, train, test, params)
+                        # Written here, so that an error at scoring time is this model's own.
+                        done[m] = ledger.write(proto, fold, m, out)
+                        break
+                    except Exception as e:  # one failing model leaves an error row and the rest
+                        if not left:
+                            errors.append((proto, fold, m, repr(e)))
             features.release()
         return [d for d in done.values() if d is not None], errors
 

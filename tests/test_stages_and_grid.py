@@ -97,7 +97,8 @@ def test_finished_fits_are_not_repeated(spark, monkeypatch):
     data, assign = _data(spark)
     p = models.ModelParams(forest_trees=2, forest_max_depth=3, boosting_iters=2, logistic_max_iter=5, seed=random.randrange(10**9))
     first, errors = models.evaluate_grid(data, assign, p)
-    assert not errors and first.select("fold", "model").distinct().count() == 14
+    assert errors == []
+    assert first.select("fold", "model").distinct().count() == 14
 
     def fails(*a, **k):
         raise AssertionError("fitted twice")
