@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import threading
 from concurrent.futures import Executor, ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
@@ -53,7 +54,7 @@ class ModelParams:
     forest_part: int = 12               # trees of a forest fitted by one job
 
 
-#: Tree fits send the statistics of every open node from every partition; small inputs get few partitions.
+#: A fit is hundreds of jobs, each of which sends its statistics from every partition: as few as the rows ask for.
 ROWS_A_PARTITION = 50_000
 
 
@@ -176,20 +177,22 @@ class Forest:
 
 
 def _fewer(df: DataFrame, n: int) -> DataFrame:
-    """Rows of a tree fit in as few partitions as their number asks for."""
-    return df.coalesce(max(2, math.ceil(n / ROWS_A_PARTITION)))
+    """Rows of an iterative fit in as few partitions as their number asks for."""
+    return df.coalesce(max(1, math.ceil(n / ROWS_A_PARTITION)))
 
 
 class FoldFeatures:
     """Feature pipelines of one training set, each fitted once and shared by
     every model of that mode; medians and deviations are shared by the modes.
-    Transformed training vectors are cached for the iterative fits."""
+    Transformed training vectors are cached for the iterative fits. Models may
+    be fitted side by side."""
 
     def __init__(self, train: DataFrame, test: DataFrame):
         self.train, self.test = with_weights(train), test
         self.n = train.count()
         self._imputer = self._scaler = None
         self._done: dict = {}
+        self._one = threading.Lock()
 
     def _shared(self) -> dict:
         if self._imputer is None:
@@ -198,13 +201,13 @@ class FoldFeatures:
         return {"imputer": self._imputer, "scaler": self._scaler}
 
     def get(self, mode: tuple):
-        if mode not in self._done:
-            told = self._shared() if mode[0] != "condition" else {}
-            pm = Pipeline(stages=feature_stages(*mode, **told)).fit(self.train)
-            tr = pm.transform(self.train).select("record_id", "y", "weight", "features")
-            tr = (tr if mode[1] else _fewer(tr, self.n)).cache()
-            self._done[mode] = (tr, pm.transform(self.test))
-        return self._done[mode]
+        with self._one:
+            if mode not in self._done:
+                told = self._shared() if mode[0] != "condition" else {}
+                pm = Pipeline(stages=feature_stages(*mode, **told)).fit(self.train)
+                tr = pm.transform(self.train).select("record_id", "y", "weight", "features")
+                self._done[mode] = (_fewer(tr, self.n).cache(), pm.transform(self.test))
+            return self._done[mode]
 
     def fit(self, name: str, p: ModelParams, pool: Executor) -> DataFrame:
         """The test rows with y_pred and p of one model."""
@@ -223,7 +226,7 @@ class FoldFeatures:
             tr.unpersist()
 
 
-#: Fits that run side by side; most of a fit's jobs are short and leave cores idle.
+#: Parts of forests that run side by side; most of a fit's jobs are short and leave cores idle.
 PARALLEL_FITS = 8
 #: A fit that fails, say as an executor was lost once too often, is tried again before it is an error row.
 ATTEMPTS = 2
@@ -282,7 +285,8 @@ def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams |
                   models: list[str] | None = None, parallel_folds: int = 4,
                   ledger: FitLedger | None = None) -> tuple[DataFrame, list[tuple]]:
     """For every (protocol, fold) of ``assignments`` (record_id, protocol,
-    fold, split) and every model: fit on train only, score test.
+    fold, split) and every model: fit on train only, score test. A few folds
+    run side by side, and in each of them its models.
 
     Returns the unioned predictions (protocol, fold, model, record_id, y,
     y_pred, p) and a list of error rows. The rows are written once, in one
@@ -303,7 +307,18 @@ def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams |
         return spark.createDataFrame([], PREDICTIONS), []
     ledger = ledger or FitLedger.of(tagged, params)
     folds = sorted((str(p), int(f)) for p, f in tagged.select("protocol", "fold").distinct().collect())
-    fits = ThreadPoolExecutor(PARALLEL_FITS)
+    parts = ThreadPoolExecutor(PARALLEL_FITS)  # of the forests of all folds
+
+    def run_model(proto, fold, m, features):
+        """The written predictions of one fit, or its error."""
+        for left in reversed(range(ATTEMPTS)):
+            try:
+                out = features.fit(m, params, parts) if m in MODEL_MODES else fit_predict(m, features.train, features.test, params)
+                # Written here, so that an error at scoring time is this model's own.
+                return ledger.write(proto, fold, m, out), None
+            except Exception as e:  # one failing model leaves an error row and the rest
+                if not left:
+                    return None, (proto, fold, m, repr(e))
 
     def run_fold(pf):
         proto, fold = pf
@@ -316,22 +331,16 @@ def evaluate_grid(data: DataFrame, assignments: DataFrame, params: ModelParams |
             if train.isEmpty() or test.isEmpty():
                 return [], [(proto, fold, "__split__", "no train rows or no test rows among the records")]
             features = FoldFeatures(train, test)
-            for m in todo:
-                for left in reversed(range(ATTEMPTS)):
-                    try:
-                        out = features.fit(m, params, fits) if m in MODEL_MODES else fit_predict(m, train, test, params)
-                        # Written here, so that an error at scoring time is this model's own.
-                        done[m] = ledger.write(proto, fold, m, out)
-                        break
-                    except Exception as e:  # one failing model leaves an error row and the rest
-                        if not left:
-                            errors.append((proto, fold, m, repr(e)))
+            with ThreadPoolExecutor(len(todo)) as fits:
+                for m, (rows, error) in zip(todo, fits.map(lambda m: run_model(proto, fold, m, features), todo)):
+                    done[m] = rows
+                    errors += [error] if error else []
             features.release()
         return [d for d in done.values() if d is not None], errors
 
     # folds are independent Spark jobs; a few run concurrently from the driver
     preds, errors = [], []
-    with fits, ThreadPoolExecutor(max_workers=max(1, parallel_folds)) as pool:
+    with parts, ThreadPoolExecutor(max_workers=max(1, parallel_folds)) as pool:
         for p_list, e_list in pool.map(run_fold, folds):
             preds += p_list
             errors += e_list
