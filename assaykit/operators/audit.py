@@ -69,8 +69,13 @@ def audit_positive_rate(long: DataFrame, expected: float, tol: float = 1e-12) ->
                     F.lit(None))
 
 
+def outside(df: DataFrame, col: str, allowed: list) -> DataFrame:
+    """The rows whose value is not among ``allowed``; a null is no value."""
+    return df.where(~F.col(col).isin(*allowed))
+
+
 def audit_binary_label(long: DataFrame, col: str = "y") -> DataFrame:
-    bad = long.where(F.col(col).isNotNull() & ~F.col(col).isin(0, 1)).agg(F.count(F.lit(1)).alias("n"))
+    bad = outside(long, col, [0, 1]).agg(F.count(F.lit(1)).alias("n"))
     return _finding(bad.where(F.col("n") > 0), "binary_label", "error",
                     F.lit(f"{col} has values other than 0 and 1"), F.col("n"))
 

@@ -24,9 +24,9 @@ def with_sequence_key(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
 
 
 def baseline_feature_table(df: DataFrame, seq_col: str = "sequence", write: bool = True) -> DataFrame:
-    """(_seq_key, 54 features) for the distinct sequences of ``df``."""
-    seqs = (with_sequence_key(df, seq_col).groupBy(KEY)
-            .agg(F.any_value(F.col(seq_col)).alias("_seq")))
+    """(_seq_key, 54 features) for the distinct sequences of ``df``. Key and
+    text both group, so that no text is an aggregate's state (Spark would sort)."""
+    seqs = with_sequence_key(df, seq_col).select(KEY, F.coalesce(F.col(seq_col), F.lit("")).alias("_seq")).distinct()
     x = seqs.select(KEY, letters_only_sequence("_seq").alias("_letters"))
     x = x.select(KEY, *baseline_count_columns("_letters"))
     x = x.select(KEY, *baseline_feature_columns())

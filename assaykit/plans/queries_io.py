@@ -5,6 +5,8 @@ tables) under the shared checkpoint folder first, then return the lazy
 read-back."""
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,18 +221,36 @@ def _long(spark, sf):
     return DatasetBuild.from_tables(spark, sf).long
 
 
+def _faulty_long(spark, sf):
+    """The long table with faults planted: rows of one condition come twice,
+    and half of those with a label that is neither 0 nor 1."""
+    lg = materialize(_long(spark, sf).select("observation_id", "sequence_clean", "solvent_name", "y", "source_row_index"), "faulty_long")
+    again = lg.where("source_row_index % 100 = 0 AND solvent_name = 'Lot note'")
+    again = again.withColumn("y", F.when(F.col("source_row_index") % 200 == 0, 2).otherwise(F.col("y")))
+    return lg, lg.unionByName(again).drop("source_row_index")
+
+
+FAULTY = (B("long") + ", faulty AS (SELECT observation_id, y FROM long UNION ALL SELECT observation_id, "
+          "CAST(CASE WHEN source_row_index % 200 = 0 THEN 2 ELSE y END AS INTEGER) AS y FROM long "
+          "WHERE source_row_index % 100 = 0 AND solvent_name = 'Lot note') ")
+
+
 def _f(check, sev, detail, n):
     return (f"SELECT '{check}' AS \"check\", '{sev}' AS severity, CAST({detail} AS VARCHAR) AS detail, "
             f"CAST({n} AS BIGINT) AS n")
 
 
-add("audit_required_columns", lambda s, sf: A.audit_required_columns(_long(s, sf)))
+# A long table that lacks two of the required columns.
+add("audit_required_columns", lambda s, sf: A.audit_required_columns(_long(s, sf).drop("solvent_name", "y")),
+    "SELECT 'required_columns' AS \"check\", 'error' AS severity, 'the long table has no column ' || c AS detail, "
+    f"CAST(NULL AS BIGINT) AS n FROM (SELECT unnest({A.REQUIRED_LONG_COLUMNS!r}) AS c) r "
+    f"WHERE c NOT IN (SELECT column_name FROM (DESCRIBE {B('long')} SELECT * EXCLUDE (solvent_name, y) FROM long))")
 add("audit_row_count", lambda s, sf: A.audit_row_count(_long(s, sf), E["n_records"]),
     B("long") + f"SELECT * FROM ({_f('row_count', 'error', chr(39) + 'record count differs: ' + chr(39) + ' || CAST(n AS VARCHAR)', 'n')} "
     f"FROM (SELECT count(*) AS n FROM long)) t WHERE n <> {E['n_records']}")
-add("audit_unique_key", lambda s, sf: A.audit_unique_key(_long(s, sf)),
-    B("long") + f"SELECT * FROM ({_f('unique_key', 'error', chr(39) + 'values of observation_id repeat' + chr(39), 'n')} "
-    f"FROM (SELECT count(*) AS n FROM (SELECT observation_id FROM long GROUP BY 1 HAVING count(*) > 1))) t "
+add("audit_unique_key", lambda s, sf: A.audit_unique_key(_faulty_long(s, sf)[1]),
+    FAULTY + f"SELECT * FROM ({_f('unique_key', 'error', chr(39) + 'values of observation_id repeat' + chr(39), 'n')} "
+    f"FROM (SELECT count(*) AS n FROM (SELECT observation_id FROM faulty GROUP BY 1 HAVING count(*) > 1))) t "
     f"WHERE n > 0")
 add("audit_distinct_counts",
     lambda s, sf: A.audit_distinct_counts(_long(s, sf), E["n_unique_sequences"], E["n_unique_solvents"]),
@@ -244,9 +264,11 @@ add("audit_positive_rate", lambda s, sf: A.audit_positive_rate(_long(s, sf), E["
     B("long") + "SELECT \"check\", severity, detail, n FROM (" + _f(
         "positive_rate", "error", "'share of positives differs: ' || printf('%.12f', r)", "NULL")
     + f", r FROM (SELECT avg(CAST(y AS DOUBLE)) AS r FROM long)) t WHERE abs(r - {E['positive_rate']!r}) > 1e-12")
-add("audit_binary_label", lambda s, sf: A.audit_binary_label(_long(s, sf)),
-    B("long") + "SELECT * FROM (" + _f("binary_label", "error", "'y has values other than 0 and 1'", "n")
-    + " FROM (SELECT count(*) AS n FROM long WHERE y IS NOT NULL AND y NOT IN (0, 1))) t WHERE n > 0")
+add("audit_binary_label", lambda s, sf: A.audit_binary_label(_faulty_long(s, sf)[1]),
+    FAULTY + "SELECT * FROM (" + _f("binary_label", "error", "'y has values other than 0 and 1'", "n")
+    + " FROM (SELECT count(*) AS n FROM faulty WHERE y IS NOT NULL AND y NOT IN (0, 1))) t WHERE n > 0")
+add("value_subset", lambda s, sf: A.outside(_faulty_long(s, sf)[1], "y", [0, 1]).select("observation_id", "y"),
+    FAULTY + "SELECT observation_id, y FROM faulty WHERE y NOT IN (0, 1)")
 
 
 def _split_refs(spark, sf):
@@ -287,9 +309,7 @@ def _release_gate(spark, sf):
     file, a broken document, too few results and an error row."""
     root = _inventory_root(spark, sf)
     spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/notes.md")
-    lg = materialize(_long(spark, sf).select("observation_id", "sequence_clean", "solvent_name", "y", "source_row_index"), "gate_long")
-    again = lg.where("source_row_index % 100 = 0").withColumn("y", F.when(F.col("source_row_index") % 200 == 0, 2).otherwise(F.col("y")))
-    faulty = lg.unionByName(again.where("solvent_name = 'Lot note'")).drop("source_row_index")
+    lg, faulty = _faulty_long(spark, sf)
     ids = lg.select("observation_id")
     splits = {"own": ids, "foreign": ids.unionByName(fx.obs(spark, sf).select(F.col("record_id").alias("observation_id"))),
               "empty": ids.limit(0), "nameless": lg.select(F.col("y").alias("fold"))}
@@ -396,16 +416,6 @@ add("model_stratified_dummy", _dummy,
            f"WHERE split = 'test'", ["p"])
 
 
-def _pipeline_out(mode, scaled):
-    def q(spark, sf):
-        from pyspark.ml import Pipeline
-        from pyspark.ml.functions import vector_to_array
-        tr, te = _train_test(spark, sf)
-        model = Pipeline(stages=ML.feature_stages(mode, scaled)).fit(tr)
-        return model.transform(te).select("record_id", vector_to_array("features").alias("features"))
-    return q
-
-
 def planted(columns: list[str]) -> list[str]:
     """SQL of the columns with every seventh record's value missing, for each
     column in other records."""
@@ -437,8 +447,35 @@ def _numeric_stages_sql(scaled: bool) -> str:
 
 add("ml_impute_median", lambda s, sf: _numeric_stages(s, sf, False), _numeric_stages_sql(False), BASELINE_FEATURES)
 add("ml_standardize", lambda s, sf: _numeric_stages(s, sf, True), _numeric_stages_sql(True), BASELINE_FEATURES)
-add("ml_one_hot", lambda s, sf: _pipeline_out("condition", False)(s, sf))
-add("ml_feature_modes", lambda s, sf: _pipeline_out("both", True)(s, sf))
+
+
+# One row per test record and place of its vector: the 54 numbers first, then one place per condition of the training
+# rows in order. The encoder has not seen 'view', which is left out of the training rows.
+UNSEEN = "view"
+SEEN_SQL = f"k AS (SELECT solvent_norm AS c, row_number() OVER (ORDER BY solvent_norm) - 1 AS i FROM (SELECT DISTINCT lower(trim(solvent)) AS solvent_norm FROM t WHERE split = 'train') g WHERE solvent_norm <> '{UNSEEN}')"
+ONE_HOT_SQL = "CAST(i + {shift} AS INTEGER) AS place, CAST(CASE WHEN lower(trim(solvent)) = c THEN 1 ELSE 0 END AS DOUBLE) AS value"
+
+
+def _vectors(spark, sf, mode, scaled):
+    tr, te = _train_test(spark, sf)
+    model = Pipeline(stages=ML.feature_stages(mode, scaled)).fit(tr.where(F.col("solvent_norm") != UNSEEN))
+    return model.transform(te).select("record_id", F.posexplode(vector_to_array("features")).alias("place", "value"))
+
+
+def _feature_modes_sql() -> str:
+    cols = BASELINE_FEATURES
+    each = [f"(x.{c} - a.m_{c}) / CASE WHEN a.d_{c} = 0 THEN 1 ELSE a.d_{c} END" for c in cols]
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in cols)
+    return (HOLD + f", b AS ({BASE_SQL} SELECT * FROM b2), x AS (SELECT b.*, t.split FROM b JOIN t ON t.record_id = b.record_id), {SEEN_SQL}, "
+            f"a AS (SELECT {stats} FROM x WHERE split = 'train' AND lower(trim(solvent)) <> '{UNSEEN}'), "
+            f"v AS (SELECT record_id, [{', '.join(each)}] AS nums FROM x, a WHERE split = 'test') "
+            f"SELECT record_id, CAST(generate_subscripts(nums, 1) - 1 AS INTEGER) AS place, unnest(nums) AS value FROM v "
+            f"UNION ALL SELECT record_id, {ONE_HOT_SQL.format(shift=len(cols))} FROM t, k WHERE split = 'test'")
+
+
+add("ml_one_hot", lambda s, sf: _vectors(s, sf, "condition", False),
+    HOLD + f", {SEEN_SQL} SELECT record_id, {ONE_HOT_SQL.format(shift=0)} FROM t, k WHERE split = 'test'", ["value"])
+add("ml_feature_modes", lambda s, sf: _vectors(s, sf, "both", True), _feature_modes_sql(), ["value"])
 
 
 def _model(name):

@@ -169,12 +169,3 @@ def _sorted_distinct(spark, sf):
 add("sorted_distinct", _sorted_distinct,
     f"SELECT DISTINCT solvent FROM ({fx.obs_sql()}) o ORDER BY solvent")
 
-
-def _value_subset(spark, sf):
-    """Labels outside {0, 1} (first one only; empty when all are binary)."""
-    lg = DatasetBuild.from_tables(spark, sf).long
-    return lg.where(~F.col("y").isin(0, 1)).select("observation_id", "y").limit(1)
-
-
-add("value_subset", _value_subset,
-    B("long") + "SELECT observation_id, y FROM long WHERE y NOT IN (0, 1) LIMIT 1")

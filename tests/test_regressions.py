@@ -114,3 +114,20 @@ def test_grid_keeps_going_after_an_error(spark, monkeypatch):
     assert set(told) == set(names)
     assert told["majority_class"].error is None and (told["majority_class"].n_train, told["majority_class"].n_test) == (40, 20)
     assert "no fit" in told["stratified_dummy"].error and told["stratified_dummy"].accuracy is None
+
+
+def test_null_and_empty_sequences_share_their_features(spark):
+    """Both have the key of the empty text: one row of features, no copies."""
+    from assaykit.operators.features import baseline_feature_table, with_baseline_features
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "ACD"), (4, "ACD"), (5, None)], "id int, sequence string")
+    assert baseline_feature_table(df, write=False).count() == 2
+    assert "SortAggregate" not in baseline_feature_table(df, write=False)._jdf.queryExecution().toString()
+    got = with_baseline_features(df)
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_values_outside_a_set(spark):
+    from assaykit.operators.audit import audit_binary_label, outside
+    df = spark.createDataFrame([(0,), (1,), (2,), (None,), (-1,), (2,)], "y int")
+    assert sorted(r.y for r in outside(df, "y", [0, 1]).collect()) == [-1, 2, 2]
+    assert [r.n for r in audit_binary_label(df).collect()] == [3] and audit_binary_label(df.where("y < 2 and y >= 0")).count() == 0
