@@ -139,6 +139,16 @@ def _logistic(train_n: int, p: ModelParams) -> LogisticRegression:
                               standardization=False, maxIter=p.logistic_max_iter, tol=1e-6)
 
 
+def without_summary(model, spark):
+    """The model as saved and loaded. A logistic model keeps its training
+    summary, and with that the session, which is sent along when rows are
+    scored: that fails once the session has observed a metric."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 MODEL_MODES = {"sequence_logistic": ("sequence", True), "solvent_logistic": ("condition", True),
                "sequence_solvent_logistic": ("both", True),
                "sequence_solvent_random_forest": ("both", False),
@@ -215,11 +225,10 @@ class FoldFeatures:
         if name.endswith("random_forest"):
             return Forest.fit(tr, p, pool).transform(te)
         if name.endswith("logistic"):
-            est = _logistic(self.n, p)
-        else:
-            est = GBTClassifier(featuresCol="features", labelCol="y", maxIter=p.boosting_iters,
+            return _p1(without_summary(_logistic(self.n, p).fit(tr), tr.sparkSession).transform(te))
+        boosted = GBTClassifier(featuresCol="features", labelCol="y", maxIter=p.boosting_iters,
                                 maxDepth=p.boosting_depth, stepSize=p.boosting_step, seed=p.seed)
-        return _p1(est.fit(tr).transform(te))
+        return _p1(boosted.fit(tr).transform(te))
 
     def release(self):
         for tr, _ in self._done.values():

@@ -93,11 +93,21 @@ def test_forest_in_parts(spark):
     assert sum(r.y == r.y_pred for r in rows) > 0.8 * len(rows)
 
 
+def test_models_score_after_an_observed_metric(spark):
+    from assaykit.operators.prepare import drop_missing
+    data, _ = _data(spark)
+    kept, told = drop_missing(data, ["y"])
+    assert kept.count() == 120 and told.get == {"n_rows": 120, "n_dropped": 0}
+    p = models.ModelParams(forest_trees=2, forest_max_depth=2, boosting_iters=2, logistic_max_iter=5)
+    for name in models.MODEL_MODES:
+        assert models.fit_predict(name, data, data, p).where("p between 0 and 1").count() == 120, name
+
+
 def test_finished_fits_are_not_repeated(spark, monkeypatch):
     data, assign = _data(spark)
     p = models.ModelParams(forest_trees=2, forest_max_depth=3, boosting_iters=2, logistic_max_iter=5, seed=random.randrange(10**9))
     first, errors = models.evaluate_grid(data, assign, p)
-    assert errors == []
+    assert errors == [], p.seed
     assert first.select("fold", "model").distinct().count() == 14
 
     def fails(*a, **k):
@@ -106,7 +116,8 @@ def test_finished_fits_are_not_repeated(spark, monkeypatch):
     monkeypatch.setattr(models, "FoldFeatures", fails)
     monkeypatch.setattr(models, "fit_predict", fails)
     again, errors = models.evaluate_grid(data, assign, p)
-    assert not errors and sorted(again.collect()) == sorted(first.collect())
+    assert errors == [], p.seed
+    assert sorted(again.collect()) == sorted(first.collect()), p.seed
     with pytest.raises(AssertionError):
         models.evaluate_grid(data.withColumn("y", 1 - F.col("y")), assign, p)
 
