@@ -29,6 +29,27 @@ def _label(s):
     return 1 if "soluble" in compact or any(w in s for w in L.LABEL_POSITIVE_CJK) else None
 
 
+def _written(monkeypatch):
+    """The names and columns of the tables that queries write."""
+    seen, write = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name: seen.append((name, df.columns)) or write(df, name))
+    return seen
+
+
+def test_models_without_features_read_no_text(spark, tmp_path, monkeypatch):
+    sf, seen = _tables(spark, tmp_path), _written(monkeypatch)
+    for key in ("balanced_weights", "model_majority", "model_stratified_dummy", "ml_one_hot", "model_logistic_condition"):
+        seen.clear()
+        monkeypatch.setattr(Q.fx, "texts", None)
+        REGISTRY[key].build(spark, sf).count()
+        assert seen == [("model_data", ["record_id", "split", "y", "solvent_norm"])], key
+
+
+def test_features_are_joined_in_the_order_of_documents(spark, tmp_path):
+    plan = Q.model_data(spark, _tables(spark, tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [_text" in plan and "sha1" not in plan
+
+
 def test_rank_keys_are_binary(spark):
     ids = [(str(i), "ab"[i % 2]) for i in range(500)]
     ranked = rank_within(spark.createDataFrame(ids, "id string, s string"), "s", F.md5("id"), "id", n_strata=2, largest=250)
