@@ -61,3 +61,9 @@ def test_rank_keys_are_binary(spark):
         assert [r.id for r in ranked.where(F.col("s") == s).orderBy("rank").collect()] == order
 
 
+def test_release_gate_builds_once(spark, tmp_path, monkeypatch):
+    made, init = [], DatasetBuild.__init__
+    monkeypatch.setattr(DatasetBuild, "__init__", lambda self, *a: made.append(1) or init(self, *a))
+    seen = _written(monkeypatch)
+    REGISTRY["release_gate"].build(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and not [n for n, columns in seen if "sequence_clean" in columns]
