@@ -36,6 +36,23 @@ def _written(monkeypatch):
     return seen
 
 
+def test_cells_against_python(spark):
+    draw = random.Random(7)
+    bits = [*SPACES, *"   __--/aN﻿", "soluble", "In", "not soluble", "so-lu ble", "不溶", "难溶", "可溶", "NA", "n/a", "none", "nottested", "words"]
+    cells = ["".join(draw.choices(bits, k=draw.randint(0, 8))) for _ in range(4000)] + ["", " ", "NA\n", "﻿nan"]
+    got = spark.createDataFrame([(c,) for c in cells] + [(None,)], "x string").select(
+        "x", clean_text("x").alias("text"), clean_cell("x").alias("cell"), L.normalize_label("x").alias("label")).collect()
+    for r in got:
+        want = None if r.x is None else _clean(r.x)
+        assert (r.text, r.cell, r.label) == (want, None if want in NULL_TOKENS else want, None if want is None else _label(want))
+
+
+def test_cells_are_not_translated(spark):
+    df = spark.range(1).select(F.lit("x").alias("x")).select(clean_cell("x").alias("a"), L.normalize_label("x").alias("b"))
+    assert "translate(" not in df._jdf.queryExecution().analyzed().toString()
+    assert WS_CLASS in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_models_without_features_read_no_text(spark, tmp_path, monkeypatch):
     sf, seen = _tables(spark, tmp_path), _written(monkeypatch)
     for key in ("balanced_weights", "model_majority", "model_stratified_dummy", "ml_one_hot", "model_logistic_condition"):
