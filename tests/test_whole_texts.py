@@ -78,6 +78,22 @@ def test_rank_keys_are_binary(spark):
         assert [r.id for r in ranked.where(F.col("s") == s).orderBy("rank").collect()] == order
 
 
+def test_boosting_counts_equal_rows(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import Vectors
+    draw = random.Random(3)
+    rows = [(Vectors.dense([float(i % 6), float(i % 4)]), float(draw.random() < 0.2 + 0.1 * (i % 6))) for i in range(400)]
+    train = spark.createDataFrame(rows, ["features", "y"])
+    alike = ML.counted(train)
+    assert Counter({(tuple(r.features), r.y): r.n for r in alike.collect()}) == Counter((tuple(v), y) for v, y in rows)
+    fit = {"featuresCol": "features", "labelCol": "y", "maxIter": 5, "maxDepth": 3, "seed": 1}
+    test = train.select("features").distinct()
+
+    def scores(model):
+        return {tuple(r.features): round(r.probability[1], 6) for r in model.transform(test).collect()}
+    assert scores(GBTClassifier(weightCol="n", **fit).fit(alike)) == scores(GBTClassifier(**fit).fit(train))
+
+
 def test_release_gate_builds_once(spark, tmp_path, monkeypatch):
     made, init = [], DatasetBuild.__init__
     monkeypatch.setattr(DatasetBuild, "__init__", lambda self, *a: made.append(1) or init(self, *a))
