@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from assaykit.operators import forest as FO
@@ -83,3 +83,62 @@ def test_large_leaf_is_not_gathered(spark, monkeypatch):
     assert got.where("p = 1 and y_pred = 1").count() == 200
     monkeypatch.setattr(FO, "LOCAL_ROWS", 100_000)
     assert FO.score_forest(data.withColumn("y", F.lit(0)), data, 3, 1, 30, 2).where("p = 0 and y_pred = 0").count() == 200
+
+
+@pytest.mark.parametrize("summarized", [FO.SUMMARIZED, 0])
+def test_counts_stand_for_rows(spark, monkeypatch, summarized):
+    """A row with a count weighs as that many rows: the same cut points, draws and scores."""
+    monkeypatch.setattr(FO, "SUMMARIZED", summarized)
+    data = _rows(spark, 300)
+    train, test = data.where("cast(record_id as int) % 3 > 0").coalesce(1), data.where("cast(record_id as int) % 3 = 0").coalesce(1)
+    n = F.col("record_id").cast("int") % 3 + 1
+    counted = train.withColumn("n", n.cast("long"))
+    whole = train.withColumn("k", F.explode(F.sequence(F.lit(1), n))).drop("k")
+    x = vector_to_array("features").alias("x")
+    assert FO.cut_points(counted.select(x, "n"), 4) == FO.cut_points(whole.select(x), 4)
+    a, b = ({r.record_id: (r.p, r.y_pred) for r in FO.score_forest(t, test, 10, 7, 30, 2).collect()} for t in (counted, whole))
+    assert a == b and len(a) == 100
+
+
+def test_cut_points_are_values_of_their_rank(spark, monkeypatch):
+    monkeypatch.setattr(FO, "SUMMARIZED", 0)
+    rnd = random.Random(2)
+    values = [round(rnd.gauss(0, 1), 2) for _ in range(1000)]
+    got = FO.cut_points(spark.createDataFrame([([v],) for v in values], "x array<double>"), 1)
+    told = sorted(values)
+    assert got == [sorted({told[-(-k * 1000 // FO.BINS) - 1] for k in range(1, FO.BINS)})]
+
+
+def test_whole_trees_as_node_by_node():
+    """Stretches of a level, and counts summed as one number or two, give one tree."""
+    rnd = np.random.default_rng(8)
+    bins, counts = rnd.integers(0, 9, (700, 12)).astype(np.uint8), rnd.poisson(0.8, (700, 2)).astype(np.int32)
+    asked = rnd.random(700) < 0.8
+
+    def votes():
+        return FO.subtree(bins, counts, asked, (0.7, 1.2), np.random.default_rng(4), 0, 30, 2).tolist()
+
+    want, told = votes(), (FO.CHUNK, FO.PACKED)
+    try:
+        for FO.CHUNK, FO.PACKED in ((1, told[1]), (50, told[1]), (told[0], 1.0)):
+            assert votes() == want
+    finally:
+        FO.CHUNK, FO.PACKED = told
+
+
+def test_forest_is_fitted_on_distinct_rows(spark, monkeypatch):
+    """Records of one sequence, condition and label are one row for its passes."""
+    from assaykit.functions.sequence import BASELINE_FEATURES
+    from assaykit.operators import models
+    feats = [f"cast((id % 5) * {i + 2} as double) as {c}" for i, c in enumerate(BASELINE_FEATURES)]
+    data = spark.range(200).selectExpr("cast(id as string) as record_id", "cast(id % 5 > 2 as int) as y", "concat('c', id % 2) as solvent_norm", *feats)
+    seen = []
+
+    def scored(train, test, *a):
+        seen.append((train.count(), train.groupBy().sum("n").first()[0], test.count()))
+        return FO.score_forest(train, test, *a)
+
+    monkeypatch.setattr(models, "score_forest", scored)
+    got = models.fit_predict("sequence_solvent_random_forest", data, data, models.ModelParams(forest_trees=8))
+    assert got.where("y = y_pred").count() == 200 and got.columns[:3] == ["record_id", "y", "solvent_norm"]
+    assert seen == [(10, 200, 10)]

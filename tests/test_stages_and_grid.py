@@ -131,3 +131,21 @@ def test_one_class(spark):
         for name in ("sequence_solvent_logistic", "sequence_solvent_random_forest"):
             got = models.fit_predict(name, train, data, p).select("p", "y_pred").distinct().collect()
             assert {r.y_pred for r in got} == {label} and all(abs(r.p - label) < 0.05 for r in got), (name, got[:3])
+
+
+def test_stages_weigh_counts(spark):
+    rows = [(1.5, 0.1, 3), (None, 0.1, 2), (4.0, 0.1, 1), (7.25, 0.1, 5)]
+    counted = spark.createDataFrame(rows, "a double, k double, n long")
+    whole = spark.createDataFrame([(a, k) for a, k, n in rows for _ in range(n)], "a double, k double")
+    fits = []
+    for df, weight in ((counted, "n"), (whole, None)):
+        imputer = ExactMedianImputer(inputCols=["a", "k"], outputCols=["a1", "k1"], weightCol=weight).fit(df)
+        scaler = PopulationScaler(inputCols=["a1", "k1"], outputCols=["a2", "k2"], weightCol=weight).fit(imputer.transform(df))
+        fits.append([x for m, p in ((imputer, "medians"), (scaler, "means"), (scaler, "deviations")) for x in m.getOrDefault(p)])
+    assert fits[0] == pytest.approx(fits[1]) and fits[0][-1] == 1.0
+
+
+def test_names_tell_nulls_apart(spark):
+    feats = ", ".join(f"cast(if(id = {i}, null, 1) as double) as {c}" for i, c in enumerate(BASELINE_FEATURES))
+    df = spark.sql(f"select if(id = 54, null, 'c') as solvent_norm, {feats} from range(56)")
+    assert models.named(models.packed(df), ["solvent_norm"], models.NAME).select(*models.NAME).distinct().count() == 56
