@@ -149,3 +149,32 @@ def test_names_tell_nulls_apart(spark):
     feats = ", ".join(f"cast(if(id = {i}, null, 1) as double) as {c}" for i, c in enumerate(BASELINE_FEATURES))
     df = spark.sql(f"select if(id = 54, null, 'c') as solvent_norm, {feats} from range(56)")
     assert models.named(models.packed(df), ["solvent_norm"], models.NAME).select(*models.NAME).distinct().count() == 56
+
+
+def test_grid_fits_distinct_rows_and_keeps_all_records(spark, monkeypatch):
+    """Each fold is fitted on distinct rows with counts; records and assignments that come twice are all scored."""
+    data, assign = _data(spark)
+    data, assign = data.unionByName(data.where("record_id = '4'")), assign.unionByName(assign.where("record_id in ('4', '8')"))
+    joined = data.join(assign, "record_id")
+    seen = []
+
+    class Seen(models.FoldFeatures):
+        def __init__(self, train, test):
+            super().__init__(train, test)
+            seen.append((self.rows, self.n, test.count()))
+
+    monkeypatch.setattr(models, "FoldFeatures", Seen)
+    p = models.ModelParams(forest_trees=2, forest_max_depth=3, boosting_iters=2, logistic_max_iter=5, seed=random.randrange(10**9))
+    names = ["majority_class", "solvent_logistic", "sequence_solvent_random_forest", "sequence_solvent_gradient_boosting"]
+    got, errors = models.evaluate_grid(data, assign, p, names)
+    assert errors == [] and got.where("p is null or y_pred is null").count() == 0
+    want = sorted((r.fold, r.record_id, r.y) for r in joined.where("split = 'test'").collect())
+    for name in names:
+        assert sorted((r.fold, r.record_id, r.y) for r in got.where(F.col("model") == name).collect()) == want
+    kinds = [c for c in data.columns if c != "record_id"]
+    sizes = [[joined.where(f"split = '{s}' and fold = {f}").select(*kinds) for s in ("train", "test")] for f in (0, 1)]
+    assert sorted(seen) == sorted((a.distinct().count(), a.count(), b.distinct().count()) for a, b in sizes)
+    told = {r.fold: r for r in models.grid_results(data, assign, got, errors).where("model = 'majority_class'").collect()}
+    for f, (a, b) in enumerate(sizes):
+        assert (told[f].n_train, told[f].n_test) == (a.count(), b.count())
+        assert told[f].train_positive_rate == pytest.approx(a.agg(F.avg("y")).first()[0])
